@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from pyspark.sql import functions as F
+
+from . import exact_dedup, line_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -36,3 +38,29 @@ def _register(name, sql=None):
 )
 def op6(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@_register(
+    "op5_line_dedup",
+    r"""
+    with l as (
+      select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+      from documents
+    ), k as (
+      select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+      from l
+    ), f as (
+      select key, max(doc_id) as last_id from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+    ), m as (
+      select k.*, f.key is not null and k.doc_id <> f.last_id as lost from k left join f using (key)
+    )
+    select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256
+    from m group by doc_id
+    """,
+)
+def op5(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
