@@ -22,6 +22,15 @@ from pyspark.sql import functions as F
 #: One letter for each byte; none is white space or means anything to sentencepiece.
 LETTERS = [chr(0x4E00 + b) for b in range(256)]
 
+#: Letters and digits of Unicode versions newer than the rank-based encoder's tables: signs to it, so signs here.
+NEWER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
+    "10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 "
+    "16ebb-16ed3 16ff2-16ff3 16ff4-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 "
+    "1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 "
+    "1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -29,7 +38,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _varint(n: int) -> bytes:
-    out = bytearray()
+    n, out = n & (1 << 64) - 1, bytearray()  # negative numbers in two's complement
     while True:
         out.append(n & 127 | (128 if n > 127 else 0))
         n >>= 7
@@ -65,11 +74,12 @@ class ByteBpe:
         import sentencepiece
 
         self.ranks = read_ranks(path)
-        self.order = [r for _, r in sorted(self.ranks.items(), key=lambda x: x[1])]
         self.order = sorted(self.ranks.values())
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
-        self.split, self.most = regex.compile(pattern).findall, most
+        spans = [[int(x, 16) for x in r.split("-")] for r in NEWER.split()]
+        self.newer = regex.compile("[" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in spans) + "]")
+        self.pattern, self.most = regex.compile(pattern), most
         self.known: dict[str, tuple[int, ...]] = {}
         self.letters = {b: letter for b, letter in enumerate(LETTERS)}
 
@@ -79,6 +89,12 @@ class ByteBpe:
             return (whole,)
         return tuple(self.order[p - 1] for p in self.sp.encode(raw.decode("latin-1").translate(self.letters)))
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        if text.isascii() or not self.newer.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self.newer.sub("\u00a7", text))]
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         known = self.known
