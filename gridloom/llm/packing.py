@@ -33,7 +33,7 @@ class ChunkEncoder:
     ``most`` bounds how many chunks are remembered; beyond it the memory starts afresh.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,6 +69,16 @@ class ChunkEncoder:
             at = to
 
 
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def _encoder(path: str, end_id: int) -> ChunkEncoder:
+    """One encoder for each worker process, so what a task has learnt serves the next."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = ChunkEncoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 class Packer:
     """Places items (id, start, total, ids) in windows of ``size`` ids; full ones come out of ``place``."""
 
@@ -182,7 +192,7 @@ def pack(
     def work(batches):
         from pyspark import TaskContext
 
-        encoder, packer = ChunkEncoder(tokenizer, end_id), Packer(size, open_windows, sliver)
+        encoder, packer = _encoder(tokenizer, end_id), Packer(size, open_windows, sliver)
         task, number, rows, kind, held = TaskContext.get().partitionId(), 0, [], None, 0
         for batch in batches:
             kind, keys, texts = batch.schema.field(0).type, batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -15,14 +15,17 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, WORD
 
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_lines long, n_end_lines long, n_distinct long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_lines long, n_end_lines long, n_distinct long, n_echoes long"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -63,18 +66,20 @@ def count_text(text: str | None) -> tuple:
         len(lines),
         sum(1 for line in lines if line.rstrip(SPACES)[-1:] in ".!?"),
         distinct,
+        sum(map(eq, words, islice(words, 1, None))),
     )
 
 
-@F.pandas_udf(COUNTS)
-def counts_of(texts):
-    import pandas as pd
-
-    return pd.DataFrame([count_text(t) for t in texts], columns=[c.split()[0] for c in COUNTS.split(", ")])
+def with_counts(docs: DataFrame, text_col: str = "text", into: str = "__counts") -> DataFrame:
+    """docs with a struct of the counts of each text; all other columns stay in the JVM."""
+    names = [c.split()[0] for c in COUNTS.split(", ")]
 
+    @F.arrow_udf(f"struct<{COUNTS.replace(' ', ': ').replace(',:', ',')}>")
+    def counts(texts: pa.Array) -> pa.Array:
+        rows = list(zip(*(count_text(t.as_py()) for t in texts), strict=True)) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(r, pa.int64()) for r in rows], names)
 
-def with_counts(docs: DataFrame, text_col: str = "text", into: str = "__counts") -> DataFrame:
-    return docs.withColumn(into, counts_of(F.col(text_col)))
+    return docs.withColumn(into, counts(F.col(text_col)))
 
 
 @dataclass(frozen=True)
@@ -96,21 +101,27 @@ def _share(part: str, whole: str):
 
 _symbols, _again = _share("n_symbols", "n_words"), _share("n_repeat_words", "n_words")
 _upper, _letters, _distinct = _share("n_upper", "n_words"), _share("n_letters", "n_words"), _share("n_distinct", "n_words")
-_dup = _share("n_dup_lines", "n_lines")
+_dup, _echo = _share("n_dup_lines", "n_lines"), _share("n_echoes", "n_words")
+
+def never(c: Column) -> Column:
+    return F.lit(False)
+
 
+#: Most rules only know a fault when they see one, and abstain otherwise; prose and letters also speak for a text.
 RULES = (
-    Rule("symbols", lambda c: _symbols(c, "<", 10), lambda c: _symbols(c, ">", 30)),
-    Rule("shouting", lambda c: _upper(c, "<", 10), lambda c: _upper(c, ">", 40)),
-    Rule("letters", lambda c: _letters(c, ">", 80), lambda c: _letters(c, "<", 50)),
-    Rule("repeats", lambda c: c["n_repeat_words"] == 0, lambda c: _again(c, ">", 20)),
-    Rule("variety", lambda c: _distinct(c, ">", 30), lambda c: _distinct(c, "<", 12) & (c["n_words"] < 2000)),
-    Rule("dup_lines", lambda c: c["n_dup_lines"] == 0, lambda c: _dup(c, ">", 30)),
+    Rule("symbols", never, lambda c: _symbols(c, ">", 20)),
+    Rule("shouting", never, lambda c: _upper(c, ">", 30)),
+    Rule("letters", lambda c: _letters(c, ">", 85), lambda c: _letters(c, "<", 65)),
+    Rule("repeats", never, lambda c: _again(c, ">", 20)),
+    Rule("echoes", never, lambda c: _echo(c, ">", 25)),
+    Rule("variety", never, lambda c: _distinct(c, "<", 12) & (c["n_words"] < 2000)),
+    Rule("dup_lines", never, lambda c: _dup(c, ">", 30)),
+    Rule("word_length", never, lambda c: (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 15 * c["n_words"])),
     Rule(
-        "word_length",
-        lambda c: (c["word_chars"] > 3 * c["n_words"]) & (c["word_chars"] < 10 * c["n_words"]),
-        lambda c: (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 15 * c["n_words"]),
+        "prose",
+        lambda c: _symbols(c, "<", 5) & _upper(c, "<", 10) & _letters(c, ">", 75) & _again(c, "<", 10) & _echo(c, "<", 10),
+        lambda c: (_symbols(c, ">", 12) | _upper(c, ">", 20)) & _letters(c, "<", 75),
     ),
-    Rule("length", lambda c: c["n_words"] >= 50, lambda c: c["n_words"] < 20),
 )
 
 

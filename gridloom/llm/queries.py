@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup
-from .common import table
+from . import byte_bpe, exact_dedup, line_dedup, packing, quality_rules
+from .common import table, written
+
+#: Vocabulary files lie with an installed package, at the same place on every executor; see tokenizer().
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -21,6 +24,36 @@ def _register(name, sql=None):
     return keep
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_register("op1_quality_rules")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = written(quality_rules.with_counts(docs).drop("text"), "counts")
+    found = quality_rules.judged(counted, quality_rules.fit(counted))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *[f"__counts.{c}" for c in base], "base_failed", "kept", "quality")
+
+
+@_register("op2_packing")
+def op2(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@_register("op9_byte_bpe")
+def op9(spark, sf_dir):
+    import public_tokenizers
+
+    digests = byte_bpe.digests_udf(tokenizer(BYTE_BPE), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", digests("text").alias("d"))
+    return docs.select("doc_id", "d.*")
+
+
 @_register(
     "op6_exact_dedup",
     r"""
