@@ -111,7 +111,7 @@ def never(c: Column) -> Column:
 RULES = (
     Rule("symbols", never, lambda c: _symbols(c, ">", 20)),
     Rule("shouting", never, lambda c: _upper(c, ">", 30)),
-    Rule("letters", lambda c: _letters(c, ">", 85), lambda c: _letters(c, "<", 65)),
+    Rule("letters", lambda c: _letters(c, ">", 85) & _echo(c, "<", 10), lambda c: _letters(c, "<", 65)),
     Rule("repeats", never, lambda c: _again(c, ">", 20)),
     Rule("echoes", never, lambda c: _echo(c, ">", 25)),
     Rule("variety", never, lambda c: _distinct(c, "<", 12) & (c["n_words"] < 2000)),
@@ -120,7 +120,7 @@ RULES = (
     Rule(
         "prose",
         lambda c: _symbols(c, "<", 5) & _upper(c, "<", 10) & _letters(c, ">", 75) & _again(c, "<", 10) & _echo(c, "<", 10),
-        lambda c: (_symbols(c, ">", 12) | _upper(c, ">", 20)) & _letters(c, "<", 75),
+        lambda c: (_symbols(c, ">", 12) | _upper(c, ">", 20)) & _letters(c, "<", 75) | _echo(c, ">", 25),
     ),
 )
 
