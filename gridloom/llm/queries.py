@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, packing, quality_rules
+from . import byte_bpe, exact_dedup, line_dedup, packing, pii, quality_rules
 from .common import table, written
 
 #: Vocabulary files lie with an installed package, at the same place on every executor; see tokenizer().
@@ -97,3 +97,20 @@ def op6(spark, sf_dir):
 def op5(spark, sf_dir):
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_register("op8_pii")
+def op8(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = [k.name for k in pii.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(names))
+
+    def count(name):
+        return F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(n).alias(f"n_{n}") for n in names],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
