@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, packing, pii, quality_rules
+from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality_rules
 from .common import table, written
 
 #: Vocabulary files lie with an installed package, at the same place on every executor; see tokenizer().
@@ -114,3 +114,8 @@ def op8(spark, sf_dir):
         F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
     )
+
+
+@_register("op4_near_dedup")
+def op4(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
