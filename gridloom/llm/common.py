@@ -46,8 +46,8 @@ def written(frame: DataFrame, what: str) -> DataFrame:
 HEAVY = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Left join of rows to groups on one key of fixed size, where some keys hold a large part of all rows.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
+    """Left join of rows to groups on one or more key columns, where some keys hold a large part of all rows.
 
     ``groups`` has one row a key, ``size`` is its number of rows, and the sizes add up to ``total`` at most.
     Fewer than HEAVY keys can be heavy whatever the input, so these are broadcast and their rows never
@@ -56,7 +56,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     heavy = F.col(size) * HEAVY > F.lit(total)
     hot = F.broadcast(groups.where(heavy))
     first = rows.join(hot, key, "inner")
-    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(~heavy), key, "left")
+    rest = rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(groups.where(~heavy), key, "left")
     return first.unionByName(rest)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality_rules
+from . import byte_bpe, exact_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, pii, quality_rules, url_filters
 from .common import table, written
 
 #: Vocabulary files lie with an installed package, at the same place on every executor; see tokenizer().
@@ -119,3 +119,88 @@ def op8(spark, sf_dir):
 @_register("op4_near_dedup")
 def op4(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@_register("op7_language_id")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    profiles = language_id.learned(docs.where(~held_out))
+    found = language_id.identified(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "language.*")
+
+
+@_register("op10_lm_scoring")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring.scored(docs, *lm_scoring.models(docs, good)).select("doc_id", "lm.*")
+
+
+#: The query's list, as (entry, category, date, added): the tables hold none. Pages are taken to have been
+#: fetched one after another, a minute apart and a year round, from FIRST_FETCH on.
+LIST_LOG = (
+    ("cheap-pills.example.com", "spam", "2024-01-01", True),
+    ("cheap-pills.example.com", "spam", "2024-05-01", False),
+    ("cheap-pills.example.com", "spam", "2024-09-01", True),
+    ("ads-track.example.org", "ads", "2024-02-01", True),
+    ("https://WWW.Ads-Track.example.org/en/", "tracking", "2024-03-01", True),
+    ("example.net", "abuse", "2024-04-01", True),
+    ("example.net", "abuse", "2024-04-11", False),
+    ("example.net", "abuse", "2024-10-01", True),
+    ("example.net", "abuse", "2024-10-06", False),
+    ("tionsh.example.net", "malware", "2024-04-05", True),
+    ("tionsh.example.net", "malware", "2024-04-05", False),
+    ("tionsh.example.net", "malware", "2024-07-15", False),
+    ("tionsh.example.net/de", "spam", "2024-06-01", True),
+    ("tionsh.example.net/de", "spam", "2024-06-20", True),
+    ("tionsh.example.net/de", "spam", "2024-08-01", False),
+    ("ththth.example.org", "spam", "2024-03-10", True),
+    ("ththth.example.org", "ads", "2024-03-20", True),
+    ("ththth.example.org", "spam", "2024-11-10", False),
+)
+FIRST_FETCH = "2024-01-01"
+_LOG_ROWS = ", ".join(f"('{e}', '{c}', timestamp '{d} 00:00:00', {str(a).lower()})" for e, c, d, a in LIST_LOG)
+
+
+@_register(
+    "op3_url_filters",
+    rf"""
+    with log as (
+      select regexp_replace(regexp_replace(entry, '^https?://', ''), '/+$', '') as entry, category, moment, added
+      from (values {_LOG_ROWS}) as v(entry, category, moment, added)
+    ), named as (
+      select lower(split_part(entry, '/', 1)) || substr(entry, length(split_part(entry, '/', 1)) + 1) as key, category, moment, bool_or(added) as added
+      from log group by all
+    ), changes as (
+      select *, lag(added) over (partition by key, category order by moment) as before from named
+    ), spans as (
+      select key, category, added, moment as since, lead(moment) over (partition by key, category order by moment) as until
+      from changes where added <> coalesce(before, false)
+    ), captures as (
+      select page_id, url, timestamp '{FIRST_FETCH} 00:00:00' + to_minutes(page_id % 527040) as fetched_at,
+             lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host,
+             regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) || '/' as path
+      from pages
+    ), met as (
+      select c.page_id, s.key, s.category
+      from captures c, spans s
+      where s.added and s.since <= c.fetched_at and (s.until is null or c.fetched_at < s.until)
+        and case when contains(s.key, '/') then starts_with(c.host || c.path, s.key || '/')
+                 else c.host = s.key or ends_with(c.host, '.' || s.key) end
+    ), best as (
+      select *, count(*) over (partition by page_id) as n_active,
+             row_number() over (partition by page_id order by length(regexp_replace(key, '[^/]', '', 'g')) desc,
+                                length(regexp_replace(key, '[^.]', '', 'g')) desc, key, category) as place
+      from met
+    )
+    select c.page_id, c.host, c.fetched_at, coalesce(b.n_active, 0) as n_active, b.key as listed_key, b.category, b.key is null as allowed
+    from captures c left join best b on b.page_id = c.page_id and b.place = 1
+    """,
+)
+def op3(spark, sf_dir):
+    log = spark.sql(f"select * from values {_LOG_ROWS} as v(entry, category, at, added)")
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("page_id") % 527040).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.lit(f"{FIRST_FETCH} 00:00:00").cast("timestamp") + minutes).alias("fetched_at"))
+    found = url_filters.judged(pages, log)
+    return found.select("page_id", url_filters.host_of(F.col("url")).alias("host"), "fetched_at", "n_active", "listed_key", "category", "allowed")
