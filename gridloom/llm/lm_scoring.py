@@ -141,7 +141,7 @@ def models(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: s
     """The shared vocabulary and the table of differences; ``good`` holds the ids of target documents."""
     words = vocabulary(docs, text_col, size)
     named = good.select(F.col(id_col).alias("__id")).distinct().withColumn("target", F.lit(True))
-    met = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(named, "__id", "left")
+    met = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(named.hint("merge"), "__id", "left")
     counted = written(pair_counts(met.withColumn("target", F.coalesce("target", F.lit(False))), words), "pair-counts")
     return words, differences(counted, words.size)
 
