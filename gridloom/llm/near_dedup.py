@@ -220,7 +220,8 @@ def near_groups(
     pairs = written(_estimated(_first_pairs(entries, sizes, like, most), classes, like, k), "candidates")
     long = written(entries.join(sizes.where(F.col("size") > most).select("value"), "value").select("node").distinct(), "long-lists")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(long.select(F.col("node").alias("id")))
-    sets = texts.join(wanted.distinct(), "id", "left_semi").select(F.col("id").alias("node"), set_udf(words)("text").alias("shingles"))
+    # Sorted and merged at every size: a broadcast of the wanted ids would do for small inputs only.
+    sets = texts.join(wanted.distinct().hint("merge"), "id", "left_semi").select(F.col("id").alias("node"), set_udf(words)("text").alias("shingles"))
     sets = written(sets, "sets")
     links = written(_near(sets, like, pairs), "links")
     if not long.isEmpty():
