@@ -14,8 +14,11 @@ any length is cut into windows as it comes. Columns other than id and text aren'
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,45 +30,97 @@ PIECES = (
 )
 
 
+#: Letters that the vocabulary's pattern keeps in one pre-token and lower-cases one by one, and signs that form another.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
+#: These split text for Python, but are no white space for a tokenizer.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def chunks_of(text: str) -> list[str]:
+    """The parts of a text between white space."""
+    return re.split("[\x20\x09-\x0d]+", text) if _SEPARATORS.search(text) else text.split()
+
+
 class ChunkEncoder:
     """Ids of texts by a tokenizer that never joins text over white space: each chunk is encoded once.
 
-    ``most`` bounds how many chunks are remembered; beyond it the memory starts afresh.
+    A chunk of plain letters, with signs after them or not, is the word in lower case and the signs, which
+    are separate pre-tokens; so each word is encoded once, however it is written. ``most`` bounds how many
+    chunks and how many words are remembered; beyond it that memory starts afresh.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 800_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(path), int(end_id).to_bytes(4, "little"), most
         self.known: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        new = [c for c in set(chunks) if c not in self.known]
+        self.parts: dict[str, bytes] = {"": b""}
+        added = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark, self.mark_id = max(added.items(), default=("", -1), key=lambda x: x[1])
+        self.added = tuple(added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.word_ends = bool(self.ends.any())
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        return (np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _learn(self, parts: list[str], by: str) -> None:
+        """Encode parts many at a time, joined by a space where each is one pre-token, else by a special token."""
+        for at in range(0, len(parts), 500):
+            some = parts[at : at + 500]
+            ids = next(self._ids([by.join(some)]))
+            cuts = np.flatnonzero(self.ends[ids]) + 1 if by == " " else np.flatnonzero(ids == self.mark_id)
+            raw, skip, start = ids.tobytes(), 0 if by == " " else 4, 0
+            for part, end in zip(some, [*(4 * cuts).tolist(), len(raw)][: len(some)], strict=True):
+                self.parts[part], start = raw[start:end], end + skip
+
+    def _learn_parts(self, words: set[str], others: set[str]) -> None:
+        if len(self.parts) + len(words) + len(others) > self.most:
+            self.parts = {"": b""}
+        self._learn(list(words.difference(self.parts)), " ")
+        alone = [p for p in others.difference(self.parts) if not self.mark or any(a in p for a in self.added)]
+        self.parts.update((p, ids.tobytes()) for p, ids in zip(alone, self._ids(alone), strict=True))
+        self._learn(list(others.difference(self.parts)), self.mark)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember the ids of every chunk of some texts."""
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(texts)))
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(set(chunks))
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = b"".join(i.to_bytes(4, "little") for i in got.ids)
+            self.known, new = {}, set(chain.from_iterable(texts))
+        plain, words, others = [], set(), set()
+        for chunk in new:
+            word = chunk.rstrip(_SIGNS)
+            if self.word_ends and word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+                plain.append(chunk)
+                words.add(word.lower())
+                words.add(chunk[len(word) :])
+            else:
+                others.add(chunk)
+        self._learn_parts(words, others)
+        parts, known = self.parts, self.known
+        for chunk in plain:
+            word = chunk.rstrip(_SIGNS)
+            known[chunk] = parts[word.lower()] + parts[chunk[len(word) :]]
+        for chunk in others:
+            known[chunk] = parts[chunk]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, the end id last."""
-        import re
-
-        split = re.compile("[\x20\x09-\x0d]+").split
         at = 0
         while at < len(texts):
             size, to = 0, at
             while to < len(texts) and (to == at or size < 4_000_000):
                 size += len(texts[to] or "")
                 to += 1
-            cut = [split(t) if t else [] for t in texts[at:to]]
-            self.learn([c for chunks in cut for c in chunks])
-            known = self.known
+            cut = [chunks_of(t) if t else [] for t in texts[at:to]]
+            self.learn(cut)
+            known = self.known.__getitem__
             for chunks in cut:
-                yield b"".join([known[c] for c in chunks]) + self.end
+                yield b"".join(map(known, chunks)) + self.end
             at = to
 
 
