@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: One letter for each byte; none is white space or means anything to sentencepiece.
 LETTERS = [chr(0x4E00 + b) for b in range(256)]
 
@@ -113,14 +115,9 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
-
-
 def _loaded(path: str, pattern: str) -> ByteBpe:
     """One encoder for each worker process."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(path, pattern)
-    return _LOADED[path, pattern]
+    return held(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_udf(path: str, pattern: str):

@@ -42,6 +42,20 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What an operator remembers in a Python worker from task to task.
+
+    A worker remembers for one operator at a time: the first task of another one frees the memory.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 #: A key counts as heavy when it holds more than one row in this many; so at most this many keys are heavy.
 HEAVY = 1000
 

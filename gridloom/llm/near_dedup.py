@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_groups, written
+from .common import components, held, join_groups, written
 
 WORDS = 5
 SKETCH, DEEP = 64, 1024
@@ -46,15 +46,13 @@ class _WordHashes(dict):
         return got
 
 
-_HASHES = _WordHashes()
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text."""
+def shingles(text: str | None, words: int = WORDS, hashes: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text; ``hashes`` remembers those of words."""
+    hashes = _WordHashes() if hashes is None else hashes
     parts = (text or "").encode().lower().split()  # of bytes, these know ASCII letters and white space only
     if not parts:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_HASHES.__getitem__, parts), np.uint64, len(parts))
+    h = np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
     width = min(words, len(parts))
     n = len(parts) - width + 1
     s = np.full(n, _SHORT if width < words else 0, np.uint64)
@@ -76,7 +74,8 @@ def sketch_udf(words: int, k: int):
     def sketch(texts: pa.Array) -> pa.Array:
         import xxhash
 
-        sets = [shingles(t.as_py(), words) for t in texts]
+        hashes = held("shingles", _WordHashes)
+        sets = [shingles(t.as_py(), words, hashes) for t in texts]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         return pa.StructArray.from_arrays(
             [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([s[:k] for s in sets])],
@@ -89,7 +88,8 @@ def sketch_udf(words: int, k: int):
 def set_udf(words: int):
     @F.arrow_udf("array<bigint>")
     def full(texts: pa.Array) -> pa.Array:
-        return _lists([shingles(t.as_py(), words) for t in texts])
+        hashes = held("shingles", _WordHashes)
+        return _lists([shingles(t.as_py(), words, hashes) for t in texts])
 
     return full
 

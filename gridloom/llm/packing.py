@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import held, written
 
 PIECES = (
     "id {id}, start long, length long, doc_tokens long, task long, sequence long, offset long, ids binary, leftover boolean"
@@ -50,7 +50,7 @@ class ChunkEncoder:
     chunks and how many words are remembered; beyond it that memory starts afresh.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000):
+    def __init__(self, path: str, end_id: int, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -124,14 +124,9 @@ class ChunkEncoder:
             at = to
 
 
-_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
-
-
 def _encoder(path: str, end_id: int) -> ChunkEncoder:
     """One encoder for each worker process, so what a task has learnt serves the next."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = ChunkEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return held(("packing", path, end_id), lambda: ChunkEncoder(path, end_id))
 
 
 class Packer:
@@ -248,16 +243,16 @@ def pack(
         from pyspark import TaskContext
 
         encoder, packer = _encoder(tokenizer, end_id), Packer(size, open_windows, sliver)
-        task, number, rows, kind, held = TaskContext.get().partitionId(), 0, [], None, 0
+        task, number, rows, kind, size_held = TaskContext.get().partitionId(), 0, [], None, 0
         for batch in batches:
             kind, keys, texts = batch.schema.field(0).type, batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for key, ids in zip(keys, encoder.encode(texts), strict=True):
                 for pieces in packer.place((key, 0, len(ids) // 4, ids)):
                     rows += _rows([pieces], task, number)
-                    number, held = number + 1, held + 4 * size
-                if held > 8_000_000:
+                    number, size_held = number + 1, size_held + 4 * size
+                if size_held > 8_000_000:
                     yield _batch(rows, kind)
-                    rows, held = [], 0
+                    rows, size_held = [], 0
         if kind is not None:
             full, last = packer.pour()
             rows += _rows(full, task, number)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD
+from .common import SPACES, WORD, held
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_lines long, n_end_lines long, n_distinct long, n_echoes long"
 SYMBOLS = "#*$%&|<>"
@@ -76,6 +76,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", into: str = "__counts")
 
     @F.arrow_udf(f"struct<{COUNTS.replace(' ', ': ').replace(',:', ',')}>")
     def counts(texts: pa.Array) -> pa.Array:
+        held("quality_rules", dict)
         rows = list(zip(*(count_text(t.as_py()) for t in texts), strict=True)) or [()] * len(names)
         return pa.StructArray.from_arrays([pa.array(r, pa.int64()) for r in rows], names)
 
