@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +49,7 @@ class ChunkEncoder:
     chunks and how many words are remembered; beyond it that memory starts afresh.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 450_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,11 +85,8 @@ class ChunkEncoder:
         self.parts.update((p, ids.tobytes()) for p, ids in zip(alone, self._ids(alone), strict=True))
         self._learn(list(others.difference(self.parts)), self.mark)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Remember the ids of every chunk of some texts."""
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(texts)))
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, set(chain.from_iterable(texts))
+    def learn(self, new: set[str]) -> None:
+        """Remember the ids of chunks that aren't known yet."""
         plain, words, others = [], set(), set()
         for chunk in new:
             word = chunk.rstrip(_SIGNS)
@@ -117,10 +113,16 @@ class ChunkEncoder:
                 size += len(texts[to] or "")
                 to += 1
             cut = [chunks_of(t) if t else [] for t in texts[at:to]]
-            self.learn(cut)
-            known = self.known.__getitem__
-            for chunks in cut:
-                yield b"".join(map(known, chunks)) + self.end
+            if len(self.known) > self.most:
+                self.known = {}
+            got = [list(map(self.known.get, chunks)) for chunks in cut]
+            self.learn({c for chunks, ids in zip(cut, got, strict=True) if None in ids for c, i in zip(chunks, ids, strict=True) if i is None})
+            known = self.known
+            for chunks, ids in zip(cut, got, strict=True):
+                if None in ids:
+                    ids = [known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+                ids.append(self.end)
+                yield b"".join(ids)
             at = to
 
 
