@@ -73,7 +73,10 @@ class Axis:
 
     def nearest(self, out: Column) -> Column:
         at = F.floor(self.at(out)).cast("bigint")
-        return F.least(F.greatest(at, F.lit(0)), F.lit(self.n - 1)) if self.pure else at
+        if not self.pure:
+            return at
+        # The last output pixel of a scaled image may be a part of one: it shows the last source pixel.
+        return F.when(out + self.first < math.ceil(self.n * self.s - TINY), F.least(at, F.lit(self.n - 1))).otherwise(at)
 
     def reach(self) -> float:
         return 0.5 if self.kernel == "nearest" else support(self.kernel) * self.wide
@@ -107,8 +110,8 @@ def _inside(node: Warp, px: Column, py: Column, pixel: float = 0.0) -> Column:
     ok = F.lit(True)
     for m, x0, y0, x1, y1 in node.clips:
         qx, qy = m.a * px + m.b * py + m.c, m.d * px + m.e * py + m.f
-        rx, ry = pixel * (abs(m.a) + abs(m.b)) - TINY, pixel * (abs(m.d) + abs(m.e)) - TINY
-        ok = ok & (qx + rx >= x0) & (qx - rx < x1) & (qy + ry >= y0) & (qy - ry < y1)
+        rx, ry, eps = pixel * (abs(m.a) + abs(m.b)), pixel * (abs(m.d) + abs(m.e)), TINY if pixel == 0 else -TINY
+        ok = ok & (qx + (rx + eps) >= x0) & (qx - (rx - TINY) < x1) & (qy + (ry + eps) >= y0) & (qy - (ry - TINY) < y1)
     return ok
 
 

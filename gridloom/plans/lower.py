@@ -10,24 +10,27 @@ from ..operators.resample import grid, resample
 from .nodes import Concat, Crop, Dequantize, Load, Nans, Overview, Raster, Warp
 
 
-def lower(node: Raster, spark: SparkSession) -> DataFrame:
+def lower(node: Raster, spark: SparkSession, rows: tuple[int, int] | None = None) -> DataFrame:
+    """``rows``: more than these rows [first, last + 1) of the node aren't needed, so that scans may skip the rest."""
     if isinstance(node, Load):
-        return node.frame.select("y", "x", *select.quoted(node.channels))
+        frame = node.rows_of(*rows) if node.rows_of and rows else node.frame
+        return frame.select("y", "x", *select.quoted(node.channels))
     if isinstance(node, Nans):
         empty = F.lit(float("nan")) if node.method == "float" else F.lit(None).cast("smallint")
         return grid(spark, node.size).select("y", "x", *[empty.alias(b) for b in node.bands])
     if isinstance(node, Crop):
-        return select.crop(lower(node.child, spark), node.y0, node.y1, node.x0, node.x1, node.channels)
+        first, last = (node.y0, node.y1) if rows is None else (node.y0 + rows[0], min(node.y1, node.y0 + rows[1]))
+        return select.crop(lower(node.child, spark, (first, last)), node.y0, node.y1, node.x0, node.x1, node.channels)
     if isinstance(node, Dequantize):
-        frame, q = lower(node.child, spark), node.quantization
+        frame, q = lower(node.child, spark, rows), node.quantization
         return frame if q is None else frame.select("y", "x", *[q.dequantize(F.col(f"`{b}`")).alias(b) for b in node.channels])
     if isinstance(node, Overview):
         leaf, k = node.child, node.level
         stored = min(k, leaf.num_overviews) if isinstance(leaf, Load) else 0
-        frame = leaf.levels[stored - 1].select("y", "x", *select.quoted(node.channels)) if stored else lower(leaf, spark)
+        frame = leaf.levels[stored - 1].select("y", "x", *select.quoted(node.channels)) if stored else lower(leaf, spark, rows and (rows[0] << k, rows[1] << k))
         return select.decimate(frame, k - stored, node.channels) if k > stored else frame
     if isinstance(node, Warp):
-        return resample(node, lower(node.child, spark), spark)
+        return resample(node, lower(node.child, spark, node.window and (node.window[1], node.window[3])), spark)
     if isinstance(node, Concat):
         return combine.stack([lower(p, spark) for p in node.parts])
     raise TypeError(type(node).__name__)

@@ -224,7 +224,7 @@ class Raster:
 
     # inspection
     def nesting(self) -> dict:
-        own = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("child", "parts", "frame", "levels")}
+        own = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("child", "parts", "frame", "levels", "rows_of")}
         return {"type": type(self).__name__, **own, "children": [c.nesting() for c in self.children()]}
 
     def graph_rows(self) -> list[tuple[int, int | None, str, str]]:
@@ -241,7 +241,7 @@ class Raster:
         return rows
 
     def _params(self) -> str:
-        own = [f.name for f in fields(self) if f.name not in ("child", "parts", "frame", "levels")]
+        own = [f.name for f in fields(self) if f.name not in ("child", "parts", "frame", "levels", "rows_of")]
         return ", ".join(f"{n}={getattr(self, n)!r}" for n in own)
 
     def explain(self) -> str:
@@ -277,7 +277,10 @@ def _indexes(chosen, n: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Load(Raster):
-    """A pixel relation. Unknown metadata are filled by prepare(). ``levels``: stored pyramid levels 1, 2, ..."""
+    """A pixel relation. Unknown metadata are filled by prepare(). ``levels``: stored pyramid levels 1, 2, ...
+
+    ``rows_of(y0, y1)``, where there is one, is the relation of some rows, filtered by what is stored.
+    """
 
     frame: DataFrame = field(compare=False)
     bands: tuple[str, ...] | None = None
@@ -285,6 +288,7 @@ class Load(Raster):
     levels: tuple = field(default=(), compare=False)
     nodata_method: str | None = None
     name: str = ""
+    rows_of: object = field(default=None, compare=False)
 
     @property
     def dsize(self):

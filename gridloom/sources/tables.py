@@ -15,11 +15,17 @@ from ..plans.nodes import Load
 def from_keys(table: DataFrame, key: str, width: int, bands: dict[str, Column | str], name: str = "", size=None) -> Load:
     """A raster from a table with dense keys 0..n-1, ``width`` pixels a row. Only the bands' columns are read."""
     cols = [(F.col(c) if isinstance(c, str) else c).alias(b) for b, c in bands.items()]
-    frame = table.select(F.expr(f"{key} div {width}").alias("y"), F.expr(f"{key} % {width}").cast("bigint").alias("x"), *cols)
+
+    def pixels(rows: DataFrame) -> DataFrame:
+        return rows.select(F.expr(f"{key} div {width}").alias("y"), F.expr(f"{key} % {width}").cast("bigint").alias("x"), *cols)
+
+    def rows_of(y0: int, y1: int) -> DataFrame:
+        return pixels(table.where((F.col(key) >= y0 * width) & (F.col(key) < y1 * width)))
+
     if size is None:
         last = table.agg(F.max(key)).first()[0]
         size = (width, 0 if last is None else int(last) // width + 1)
-    return Load(frame, tuple(bands), size, name=name)
+    return Load(pixels(table), tuple(bands), size, name=name, rows_of=rows_of)
 
 
 def from_array(spark: SparkSession, data, channels=None) -> Load:
