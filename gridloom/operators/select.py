@@ -10,10 +10,14 @@ def quoted(names) -> list[str]:
     return [f"`{n}`" for n in names]
 
 
-def crop(frame: DataFrame, y0: int, y1: int, x0: int, x1: int, bands) -> DataFrame:
-    """The window [y0, y1) x [x0, x1), moved to the origin. The filter names stored columns, so scans can skip."""
-    inside = (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
-    return frame.where(inside).select((F.col("y") - y0).alias("y"), (F.col("x") - x0).alias("x"), *quoted(bands))
+def crop(frame: DataFrame, window, bands) -> DataFrame:
+    """The window y0, y1, x0, x1, moved to the origin. The filter names stored columns, so scans can skip."""
+    y0, y1, x0, x1, (w, h) = window.y0, window.y1, window.x0, window.x1, window.child.dsize
+    for name, low, high, size in (("y", y0, y1, h), ("x", x0, x1, w)):
+        frame = frame.where(F.col(name) >= low) if low > 0 else frame
+        frame = frame.where(F.col(name) < high) if high < size else frame
+    moved = [(F.col(c) - by).alias(c) if by else F.col(c) for c, by in (("y", y0), ("x", x0))]
+    return frame.select(*moved, *quoted(bands))
 
 
 def decimate(frame: DataFrame, k: int, bands) -> DataFrame:
