@@ -87,17 +87,21 @@ class ChunkEncoder:
 
     def learn(self, new: set[str]) -> None:
         """Remember the ids of chunks that aren't known yet."""
-        plain, words, others = [], set(), set()
+        plain, words, others, parts, known = [], set(), set(), self.parts, self.known
         for chunk in new:
             word = chunk.rstrip(_SIGNS)
             if self.word_ends and word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
-                plain.append(chunk)
-                words.add(word.lower())
-                words.add(chunk[len(word) :])
+                low, signs = word.lower(), chunk[len(word) :]
+                if low in parts and signs in parts:
+                    known[chunk] = parts[low] + parts[signs]
+                else:
+                    plain.append(chunk)
+                    words.add(low)
+                    words.add(signs)
             else:
                 others.add(chunk)
         self._learn_parts(words, others)
-        parts, known = self.parts, self.known
+        parts = self.parts
         for chunk in plain:
             word = chunk.rstrip(_SIGNS)
             known[chunk] = parts[word.lower()] + parts[chunk[len(word) :]]
@@ -116,11 +120,12 @@ class ChunkEncoder:
             if len(self.known) > self.most:
                 self.known = {}
             got = [list(map(self.known.get, chunks)) for chunks in cut]
-            self.learn({c for chunks, ids in zip(cut, got, strict=True) if None in ids for c, i in zip(chunks, ids, strict=True) if i is None})
+            gaps = [[k for k, i in enumerate(ids) if i is None] if None in ids else () for ids in got]
+            self.learn({chunks[k] for chunks, missing in zip(cut, gaps, strict=True) for k in missing})
             known = self.known
-            for chunks, ids in zip(cut, got, strict=True):
-                if None in ids:
-                    ids = [known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+            for chunks, ids, missing in zip(cut, got, gaps, strict=True):
+                for k in missing:
+                    ids[k] = known[chunks[k]]
                 ids.append(self.end)
                 yield b"".join(ids)
             at = to
