@@ -1,15 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of a target (documents labelled good) and one of the background (all documents),
-share one closed vocabulary: the ``size`` - 1 most frequent words of the background, and a sign for all
-others. Both have the same order, smoothing and vocabulary, so that per token their losses can be
-subtracted; a document's score is the mean difference, background loss minus target loss: the higher, the
-more like the target.
+have the same order, smoothing and vocabulary, so that per token their losses can be subtracted; a
+document's score is the mean difference, background loss minus target loss: the higher, the more like the
+target.
 
-Words of every whole document are counted, in each task first and then over a shuffle, so what is gathered
-grows with the input. What is broadcast does not: a table of size x size differences, 16 MB at the default
-size, whatever the corpus. A vocabulary is closed in any such model; its size is a parameter, not a cap on
-what is counted. Documents are split into words three times, and move once, to meet their labels.
+``scored_whole`` has every word of the documents in its vocabulary and every pair of words in its models,
+however rare. Counts of pairs and words are tables on shared storage that grow with the input, and meet the
+documents' own counts in joins; only keys that hold more than one row in a thousand are broadcast. Words are
+named by 64 bits of BLAKE2b: two words of one name would be counted as one, which a hundred million words
+make likely in three of ten thousand corpora. A document is split into words once.
+
+``models`` and ``scored`` are the small form, with a closed vocabulary of the ``size`` - 1 most frequent
+words and a sign for all others, for callers that want a table of fixed size.
 
 Defined results: null or empty text, or text without words, has no tokens and a null score. Labels with a
 null id, and rows of docs with one, are never target. A document with several labels is target if one is
@@ -23,13 +26,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import join_groups, written
 
 SIZE = 2048
 #: A word of more bytes than this is never in the vocabulary.
@@ -161,3 +166,98 @@ def scored(docs: DataFrame, words: Vocabulary, table: np.ndarray, text_col: str
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(mean, pa.float64())], ["n_tokens", "score"])
 
     return docs.withColumn(into, score(F.col(text_col)))
+
+
+def document_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", held: int = 400_000) -> DataFrame:
+    """(row, id, target, before, word, n) for each pair of words of each document, by names of words.
+
+    Each document also has one row with n = 0 and no words, which alone bears its id. The first word has OTHER before it.
+    """
+    kind = T.StructType(
+        [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("target", T.BooleanType())]
+        + [T.StructField(c, T.LongType()) for c in ("before", "word", "n")]
+    )
+
+    def split(batches):
+        names: dict[bytes, int] = {}
+
+        def name(word):
+            if (found := names.get(word)) is None:
+                if len(names) >= held:
+                    names.clear()
+                found = names[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+            return found
+
+        for batch in batches:
+            ids = batch.column(1)
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                rows, where, target, before, word, n = [], [], [], [], [], []
+                for k, (row, text, good) in enumerate(zip(some.column(0).to_pylist(), some.column(2), some.column(3).to_pylist(), strict=True)):
+                    at_words = [name(w) for w in words_of(text.as_py())]
+                    counted = Counter(zip([OTHER, *at_words], at_words))  # noqa: B905
+                    many = len(counted) + 1
+                    rows += [row] * many
+                    where += [at + k] + [None] * (many - 1)
+                    target += [good] * many
+                    before += [None, *(b for b, _ in counted)]
+                    word += [None, *(w for _, w in counted)]
+                    n += [0, *counted.values()]
+                columns = [pa.array(rows, pa.int64()), ids.take(pa.array(where, pa.int64())), pa.array(target, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(c, pa.int64()) for c in (before, word, n)], kind.names)
+
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(target_col).alias("target"))
+    return given.mapInArrow(split, kind)
+
+
+def pair_differences(own: DataFrame) -> DataFrame:
+    """(before, word, n_docs, d): background loss minus target loss of every pair of ``document_pairs``.
+
+    Smoothed as in ``log_probabilities``; the vocabulary is every word of the background.
+    """
+    good = F.col("target")
+    sums = own.groupBy("before", "word").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0)).alias("n_target"), F.count("*").alias("n_docs")
+    )
+    pairs = written(sums, "pairs")
+    had = F.count(F.when(F.col("n_target") > 0, 1))
+    words = written(pairs.groupBy("word").agg(F.sum("n").alias("single"), F.sum("n_target").alias("single_target"), F.count("*").alias("n_before")), "words")
+    contexts = pairs.groupBy("before").agg(
+        F.sum("n").alias("total"), F.count("*").alias("follow"), F.sum("n_target").alias("total_target"), had.alias("follow_target")
+    )
+    contexts = written(contexts, "contexts")
+    known = words.agg(F.count("*"), F.sum("single"), F.count(F.when(F.col("single_target") > 0, 1)), F.sum("single_target")).first()
+    kinds, every, kinds_target, every_target = (x or 0 for x in known)
+    if not kinds:
+        return pairs.select("before", "word", "n_docs", F.lit(0.0).alias("d"))
+    words = words.select(
+        "word",
+        "n_before",
+        ((F.col("single") + 1.0) / (every + kinds)).alias("base"),
+        ((F.col("single_target") + kinds_target / kinds) / (every_target + kinds_target) if kinds_target else F.lit(1.0 / kinds)).alias("base_target"),
+    )
+    many = pairs.count()
+    met = written(join_groups(pairs, contexts, "before", "follow", many), "pairs-in-context")
+    met = join_groups(met, written(words, "bases"), "word", "n_before", many)
+
+    def loss(n, follow, total, base):
+        mixed = (F.col(n) + F.col(follow) * F.col(base)) / (F.col(total) + F.col(follow))
+        return F.log(F.when(F.col(total) > 0, mixed).otherwise(F.col(base)))
+
+    d = loss("n_target", "follow_target", "total_target", "base_target") - loss("n", "follow", "total", "base")
+    return met.select("before", "word", "n_docs", d.alias("d"))
+
+
+def scored_whole(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "lm") -> DataFrame:
+    """The id of each row of docs with a struct of n_tokens and score, by models of every pair of words of docs."""
+    named = good.select(F.col(id_col).alias("__id")).distinct().withColumn("target", F.lit(True))
+    met = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(named.hint("merge"), "__id", "left")
+    met = met.withColumn("target", F.coalesce("target", F.lit(False)))
+    all_ = written(document_pairs(met, "__id"), "document-pairs")
+    own = all_.where("n > 0")
+    differences = written(pair_differences(own), "differences")
+    found = join_groups(own.select("row", "before", "word", "n"), differences, ["before", "word"], "n_docs", own.count())
+    parts = found.select("row", F.lit(None).cast(all_.schema["id"].dataType).alias("id"), "n", (F.col("n") * F.col("d")).alias("d"))
+    parts = parts.unionByName(all_.where("n = 0").select("row", "id", "n", F.lit(None).cast("double").alias("d")))
+    sums = parts.groupBy("row").agg(F.max("id").alias(id_col), F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return sums.select(id_col, F.struct(F.col("n").alias("n_tokens"), F.round(F.col("d") / F.col("n"), 6).alias("score")).alias(into))

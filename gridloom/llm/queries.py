@@ -134,7 +134,7 @@ def op7(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return lm_scoring.scored(docs, *lm_scoring.models(docs, good)).select("doc_id", "lm.*")
+    return lm_scoring.scored_whole(docs, good).select("doc_id", "lm.*")
 
 
 #: The query's list, as (entry, category, date, added): the tables hold none. Pages are taken to have been
