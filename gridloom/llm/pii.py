@@ -135,21 +135,20 @@ def _score(kind: Kind, before: Column) -> Column:
     return kind.score + F.when(near.rlike(kind.helps), 0.3).otherwise(0.0) - F.when(near.rlike(kind.hurts), 0.3).otherwise(0.0)
 
 
-def _starts(steps: Column) -> Column:
-    """Running sums of an array, in time that stays far from the square of its length."""
-    add = lambda a, n: a + n
+def _running(values: Column, add) -> Column:
+    """What ``add`` makes of an array's values up to each place, from 0 on, in time that stays far from the square of its length."""
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), add),
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")),
+        lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), add),
     )
 
     def upto(sums, at):
         block = F.floor(at / BLOCK).cast("int")
         whole = F.aggregate(F.slice(sums, F.lit(1), block), F.lit(0), add)
-        return whole + F.aggregate(F.slice(steps, block * BLOCK + 1, at % BLOCK + 1), F.lit(0), add)
+        return F.aggregate(F.slice(values, block * BLOCK + 1, at - block * BLOCK + 1), whole, add)
 
-    # The sums of blocks are bound to a lambda's variable, so that they are made once, not for each element.
-    return F.element_at(F.transform(F.array(blocks), lambda sums: F.transform(steps, lambda _, at: upto(sums, at))), 1)
+    # The blocks are bound to a lambda's variable, so that they are made once, not for each element.
+    return F.element_at(F.transform(F.array(blocks), lambda sums: F.transform(values, lambda _, at: upto(sums, at))), 1)
 
 
 def _proposed(frame: DataFrame, kind: Kind) -> DataFrame:
@@ -162,7 +161,7 @@ def _proposed(frame: DataFrame, kind: Kind) -> DataFrame:
         "__m", lambda m, at: F.length(F.get("__p", at)) + F.when(at > 0, F.length(F.get("__m", at - 1))).otherwise(0)
     )
     frame = frame.withColumn("__steps", steps)
-    frame = frame.withColumn("__starts", F.when(F.size("__steps") > 0, _starts(F.col("__steps"))))
+    frame = frame.withColumn("__starts", F.when(F.size("__steps") > 0, _running(F.col("__steps"), lambda a, n: a + n)))
     rank = [k.name for k in KINDS].index(kind.name)
     spans = F.transform(
         "__m",
@@ -198,31 +197,51 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _without(text: Column, kind: Kind) -> Column:
-    """The text with the spans of one kind replaced."""
+def _merged(spans: Column) -> Column:
+    """Runs of overlapping spans as (start, end, kind), in order; the longest span names the kind, the first of equals."""
 
-    def swap(found, before):
-        sure = kind.valid(found) & (_score(kind, before) >= kind.least)
-        return F.when(sure, f"[{kind.name.upper()}]").otherwise(found)
+    def runs(s):
+        def made(ends):
+            places = F.sequence(F.lit(0), F.size(s["all"]) - 1)
+            heads = F.filter(places, lambda at: (at == 0) | (F.get(s["all"], at)["start"] >= F.get(ends, at - 1)))
+            return _bind(heads, lambda h: F.transform(h, lambda at, k: run(ends, at, F.coalesce(F.get(h, k + 1), F.size(s["all"])))))
 
-    def joined(s):
-        part = lambda p, at: F.concat(p, F.when(at < F.size(s["m"]), swap(F.get(s["m"], at), p)).otherwise(""))
-        return F.array_join(F.transform(s["p"], part), "")
+        def run(ends, at, until):
+            longest = lambda a, b: F.when(b["end"] - b["start"] > a["end"] - a["start"], b).otherwise(a)
+            most = F.aggregate(F.slice(s["all"], at + 1, until - at), F.get(s["all"], at), longest)
+            return F.struct(F.get(s["all"], at)["start"].alias("start"), F.get(ends, until - 1).alias("end"), most["kind"].alias("kind"))
 
-    def cut(t):
-        both = F.struct(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)).alias("m"), F.split(t, kind.pattern, -1).alias("p"))
-        return F.when(t.rlike(kind.needs), _bind(both, joined)).otherwise(t)
+        return _bind(_running(F.transform(s["all"], lambda x: x["end"]), lambda a, n: F.greatest(a, n)), made)
 
-    return _bind(text, cut)
+    return _bind(F.struct(spans.alias("all")), runs)
 
 
-def redacted(text: Column) -> Column:
-    """A text with each confirmed span replaced by its kind in brackets, one kind after another."""
-    for kind in KINDS:
-        text = _without(text, kind)
-    return text
+def _cut(text: Column, runs: Column) -> Column:
+    """The text with each run replaced by its kind in brackets. Pieces are taken from blocks, as a search from the start would take the square."""
+
+    def piece(blocks, start, end):
+        block = F.floor(start / BLOCK).cast("int")
+        near = F.array_join(F.slice(blocks, block + 1, F.floor(end / BLOCK).cast("int") - block + 1), "")
+        return F.substring(near, start - block * BLOCK + 1, end - start)
+
+    def joined(s):
+        def part(run, at):
+            since = F.when(at == 0, 0).otherwise(F.get(s["runs"], at - 1)["end"])
+            return F.concat(piece(s["blocks"], since, run["start"]), F.lit("["), F.upper(run["kind"]), F.lit("]"))
+
+        rest = piece(s["blocks"], F.element_at(s["runs"], -1)["end"], F.length(s["text"]))
+        return F.concat(F.array_join(F.transform(s["runs"], part), ""), rest)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return _bind(F.struct(text.alias("text"), runs.alias("runs"), blocks.alias("blocks")), joined)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the redacted text; null stays null, and no other column changes."""
-    return docs.withColumn(text_col, redacted(F.col(text_col)))
+    """docs with each span that find() confirms cut out of the text, for its kind in brackets; overlapping spans go as one.
+
+    Null stays null, and no other column changes.
+    """
+    found = find(docs.select(F.struct("*").alias("__doc"), F.col(text_col).alias("__given")), "__given", "__spans")
+    found = found.withColumn("__runs", F.when(F.size("__spans") > 0, _merged(F.col("__spans"))))
+    clean = F.when(F.col("__runs").isNull(), F.col("__given")).otherwise(_cut(F.col("__given"), F.col("__runs")))
+    return found.select(*[(clean if c == text_col else F.col("__doc")[c]).alias(c) for c in docs.columns])
