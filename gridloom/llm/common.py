@@ -42,6 +42,11 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): the rows of docs, each as a struct beside a number of its own, as a table on shared storage."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
+
+
 _HELD: dict = {}
 
 

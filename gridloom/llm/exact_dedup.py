@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_groups, written
+from .common import SPACE, join_groups, numbered, written
 
 
 def _every(of: int, at: int) -> str:
@@ -113,6 +113,13 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; only identifiers of dropped rows move."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of docs that stay, one of each group of copies, with all their columns; only numbers of dropped rows move.
+
+    Rows are told apart by a number each, so that null and repeated ids are as good as any: of rows that tie
+    in length and id too, one stays.
+    """
+    rows = numbered(docs)
+    given = F.col("doc")[id_col]
+    named = rows.select(F.struct(given.isNull().alias("no"), given.alias("id"), "row").alias("id"), F.col("doc")[text_col].alias("text"))
+    gone = exact_groups(named, "id", "text").where("not kept").select("id.row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, held, join_groups, written
+from .common import components, held, join_groups, numbered, written
 
 WORDS = 5
 SKETCH, DEEP = 64, 1024
@@ -244,6 +244,16 @@ def near_groups(
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with all their columns."""
-    gone = near_groups(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, one document of each group, with all their columns.
+
+    Here a document is an id, null or not, with a text: rows that repeat both stay or go together, and other
+    rows of the same id are other documents. The smallest id stays, a null one comes last.
+    """
+    rows = numbered(docs)
+    given, text = F.col("doc")[id_col], F.col("doc")[text_col]
+    name = F.struct(given.isNull().alias("no"), given.alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
+    linked = near_groups(rows.select("row", text.alias("text")), "row", "text", percent).select("row", "component_id")
+    found = written(linked.join(rows.select("row", name.alias("name")), "row"), "near")
+    best = found.groupBy("component_id").agg(F.min("name").alias("best"), F.count("*").alias("size")).where("size > 1")
+    gone = join_groups(found, written(best, "near-best"), "component_id", "size", found.count()).where("name <> best")
+    return rows.join(gone.select("row"), "row", "left_anti").select("doc.*")
