@@ -96,12 +96,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        # Tables on both sides of a join: then Spark splits the rows of a hub, which an aggregate beneath would forbid.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         large = (
             both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         )
         large = written(large.distinct(), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         known = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = known.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

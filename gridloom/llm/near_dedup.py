@@ -6,62 +6,69 @@ similar sketches share so many values that they must share one of each one's rar
 listed. The k smallest values of two sketches together estimate the similarity and filter the pairs; the
 Jaccard similarity of the full sets decides.
 
-A list of more than ``most`` classes (a passage that many documents share, or a large family of near
-copies) isn't expanded into pairs. Its members are linked to one of them first; then they alone are listed
-anew with sketches sixteen times as deep, where position and size rule out almost every pair, and only
-pairs of different components are compared. No list is capped or skipped.
+No list is expanded into all its pairs, whatever its size. First each member of a list is paired with the
+list's smallest, which joins families of near copies. Then the members of lists that still hold different
+components are listed anew with sketches sixteen times as deep, where rank and size rule out almost every
+pair, and only pairs of different components are compared. No list is capped or skipped.
 
 A pair of similarity at or above the threshold is lost only if its sketches share five standard deviations
-fewer values than expected; between sets that sketches hold whole, none is.
+fewer values than expected; between sets that sketches hold whole, none is. Shingles are compared by 64 bits.
 
 Defined results: null or empty text, or text without words, has no shingles and is linked with nothing. A
-row with a null id is linked with nothing and has a null component. Rows that share an id are one document.
-Texts of fewer words than a shingle have their whole sequence as one. An empty table gives an empty table.
-Columns other than id and text aren't read.
+row with a null id is linked with nothing and has a null component. Rows that share an id are each judged by
+their own text, but links name documents by id. Texts of fewer words than a shingle have their whole
+sequence as one. An empty table gives an empty table. Columns other than id and text aren't read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, held, join_groups, numbered, written
+from .common import components, join_groups, numbered, written
+from .words import blocks, mixed
 
 WORDS = 5
 SKETCH, DEEP = 64, 1024
-_K1, _K2, _SHORT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x5851F42D4C957F2D
+_STEP, _SHORT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-def shingles(text: str | None, words: int = WORDS, hashes: dict[bytes, int] | None = None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; ``hashes`` remembers those of words."""
-    hashes = _WordHashes() if hashes is None else hashes
-    parts = (text or "").encode().lower().split()  # of bytes, these know ASCII letters and white space only
-    if not parts:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
-    width = min(words, len(parts))
-    n = len(parts) - width + 1
-    s = np.full(n, _SHORT if width < words else 0, np.uint64)
+def _run(names: np.ndarray, width: int, seed: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """A number for each run of ``width`` words."""
+    runs = np.full(len(names) - width + 1, seed)
     for at in range(width):
-        s = s * np.uint64(_K1) + h[at : at + n]
-    s ^= s >> np.uint64(32)
-    s *= np.uint64(_K2)
-    s ^= s >> np.uint64(29)
-    return np.unique(s.view(np.int64))
+        runs = runs * _STEP + names[at : at + len(runs)]
+    return mixed(runs).view(np.int64)
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first, sets): the sorted distinct 64-bit numbers of the shingles of each text from ``first`` on."""
+    for block in blocks(texts):
+        n = np.diff(block.bounds)
+        runs = np.empty(0, np.int64)
+        if len(block.names) >= words:
+            left = np.repeat(block.bounds[1:], n) - np.arange(len(block.names))
+            runs = _run(block.names, words)[left[: len(block.names) - words + 1] >= words]
+        ends = np.cumsum(np.maximum(n - words + 1, 0))
+        starts = np.concatenate([[0], ends[:-1]])
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            runs[a:b].sort()
+        new = np.ones(len(runs), bool)
+        new[1:] = runs[1:] != runs[:-1]
+        new[starts[ends > starts]] = True
+        at = np.concatenate([[0], np.cumsum(new)])
+        runs = runs[new]
+        sets = [runs[a:b] for a, b in zip(at[starts].tolist(), at[ends].tolist(), strict=True)]
+        for k in np.flatnonzero((n > 0) & (n < words)).tolist():
+            own = block.names[block.bounds[k] : block.bounds[k + 1]]
+            sets[k] = _run(own, len(own), _SHORT)
+        yield block.first, sets
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -69,29 +76,32 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
 
-def sketch_udf(words: int, k: int):
-    @F.arrow_udf("struct<n: long, key: binary, sketch: array<bigint>>")
-    def sketch(texts: pa.Array) -> pa.Array:
+def sketched(texts: DataFrame, words: int, k: int) -> DataFrame:
+    """(id, n, key, sketch) of each row of (id, text): the size of its set, a digest of it, and its k smallest."""
+    fields = [T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
+
+    def work(batches):
         import xxhash
 
-        hashes = held("shingles", _WordHashes)
-        sets = [shingles(t.as_py(), words, hashes) for t in texts]
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return pa.StructArray.from_arrays(
-            [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([s[:k] for s in sets])],
-            ["n", "key", "sketch"],
-        )
+        for batch in batches:
+            for first, sets in shingle_sets(batch.column(1), words):
+                keys = pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())
+                columns = [pa.array([len(s) for s in sets], pa.int64()), keys, _lists([s[:k] for s in sets])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), *columns], ["id", "n", "key", "sketch"])
 
-    return sketch
+    return texts.select("id", "text").mapInArrow(work, T.StructType([texts.schema["id"], *fields]))
 
 
-def set_udf(words: int):
-    @F.arrow_udf("array<bigint>")
-    def full(texts: pa.Array) -> pa.Array:
-        hashes = held("shingles", _WordHashes)
-        return _lists([shingles(t.as_py(), words, hashes) for t in texts])
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of each row of (id, text)."""
 
-    return full
+    def work(batches):
+        for batch in batches:
+            for first, sets in shingle_sets(batch.column(1), words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), _lists(sets)], ["node", "shingles"])
+
+    kind = T.StructType([T.StructField("node", texts.schema["id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return texts.select("id", "text").mapInArrow(work, kind)
 
 
 class Similar:
@@ -126,8 +136,9 @@ def listed(sketches: DataFrame, like: Similar, k: int) -> DataFrame:
     ``sketches`` has (node, n, sketch). Values in one sketch only are counted in the ranks but not listed.
     """
     each = sketches.select("node", "n", F.explode("sketch").alias("value"))
-    often = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(often, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    often = written(each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")
+    total = sketches.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    shared = join_groups(each, often, "value", "df", total).where("df is not null").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     alone = F.least("n", F.lit(k)) - F.size("v")
     kept = F.slice("v", F.lit(1), F.greatest(like.prefix(F.col("n"), k) - alone, F.lit(0)).cast("int"))
     cut = shared.select("node", "n", alone.alias("alone"), F.posexplode(kept).alias("at", "v"))
@@ -143,14 +154,10 @@ def _near(sets: DataFrame, like: Similar, pairs: DataFrame) -> DataFrame:
     return both.where(common * 100 >= union * like.percent).select("a", "b")
 
 
-def _first_pairs(entries: DataFrame, sizes: DataFrame, like: Similar, most: int) -> DataFrame:
-    """All pairs of short lists, and of long ones each member with the smallest."""
-    short = entries.join(sizes.where(F.col("size") <= most).select("value"), "value").select("value", "node", "n")
-    other = short.select("value", F.col("node").alias("b"), F.col("n").alias("m"))
-    sized = (F.least("n", "m") * 100 >= F.greatest("n", "m") * like.percent) & (F.col("node") < F.col("b"))
-    pairs = short.join(other, "value").where(sized).select(F.col("node").alias("a"), "b")
-    long = entries.join(sizes.where(F.col("size") > most).select("value", "low"), "value").where("node <> low")
-    return pairs.unionByName(long.select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
+def _star_pairs(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each member of a list with the smallest; ``lists`` has (value, size, low)."""
+    met = join_groups(entries.select("value", "node"), lists, "value", "size", entries.count())
+    return met.where("low is not null and node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, like: Similar, k: int) -> DataFrame:
@@ -164,20 +171,32 @@ def _estimated(pairs: DataFrame, classes: DataFrame, like: Similar, k: int) -> D
     return both.where(common >= size * like.t - 5 * F.sqrt(size * (like.t * (1 - like.t)))).select("a", "b")
 
 
-def _deep_pairs(sets: DataFrame, known: DataFrame, like: Similar, deep: int) -> DataFrame:
-    """Pairs of different components from deep sketches of the members of long lists.
+def _in_mixed_lists(entries: DataFrame, lists: DataFrame, known: DataFrame) -> DataFrame:
+    """The nodes of the lists that hold more than one component."""
+    named = entries.select("value", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kinds = named.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    kinds = written(kinds.join(lists.select("value", "size"), "value"), "mixed-lists")
+    met = join_groups(named.select("value", "node"), kinds, "value", "size", entries.count())
+    return written(met.where("size is not null").select("node").distinct(), "mixed-nodes")
+
+
+def _deep_pairs(sets: DataFrame, nodes: DataFrame, known: DataFrame, like: Similar, deep: int) -> DataFrame:
+    """Pairs of different components from deep sketches of some nodes.
 
     ``sets`` has (node, shingles), ``known`` (node, component). The larger set looks for the smaller one
-    under the value and a band of sizes, so only sizes and positions that allow a link meet.
+    under the value and a band of sizes, so only sizes and ranks that allow a link meet.
     """
-    sketches = sets.select("node", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, deep).alias("sketch"))
-    entries = listed(sketches, like, deep).join(known, "node", "left")
+    some = sets.join(nodes, "node", "left_semi")
+    sketches = some.select("node", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, deep).alias("sketch"))
+    entries = listed(written(sketches, "deep-sketches"), like, deep).join(known, "node", "left")
     n, rank = F.col("n"), F.col("rank")
     entries = entries.withColumn("component", F.coalesce("component", "node")).withColumn("partner", like.partner(n, rank, deep))
     entries = written(entries, "deep-lists")
     held = entries.groupBy("value", "component").agg(F.count("*").alias("c"))
-    lists = held.groupBy("value").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    entries = entries.join(lists.select("value", "main"), "value").withColumn("in_main", F.col("component") == F.col("main"))
+    lists = held.groupBy("value").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts"), F.sum("c").alias("size"))
+    lists = written(lists.where("parts > 1").select("value", "main", "size"), "deep-sizes")
+    entries = join_groups(entries, lists, "value", "size", entries.count()).where("main is not null")
+    entries = entries.withColumn("in_main", F.col("component") == F.col("main"))
     band = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / math.log(1.02)).cast("int")
     least = F.ceil(n * like.percent / 100)
     top = F.least(n, F.col("partner"))
@@ -203,12 +222,11 @@ def near_groups(
     words: int = WORDS,
     k: int = SKETCH,
     deep: int = DEEP,
-    most: int = 40,
 ) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id it is linked with), kept."""
     like = Similar(percent)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = written(texts.select("id", sketch_udf(words, k)("text").alias("s")).select("id", "s.*"), "sketches")
+    known = written(sketched(texts, words, k), "sketches")
     classes = (
         known.where("n > 0 and id is not null")
         .groupBy("key")
@@ -216,17 +234,16 @@ def near_groups(
     )
     classes = written(classes, "classes")
     entries = written(listed(classes, like, k), "lists")
-    sizes = written(entries.groupBy("value").agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1"), "list-sizes")
-    pairs = written(_estimated(_first_pairs(entries, sizes, like, most), classes, like, k), "candidates")
-    long = written(entries.join(sizes.where(F.col("size") > most).select("value"), "value").select("node").distinct(), "long-lists")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(long.select(F.col("node").alias("id")))
+    lists = written(entries.groupBy("value").agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1"), "list-sizes")
+    pairs = written(_estimated(_star_pairs(entries, lists), classes, like, k), "candidates")
+    members = join_groups(entries.select("value", "node"), lists, "value", "size", entries.count()).where("low is not null")
     # Sorted and merged at every size: a broadcast of the wanted ids would do for small inputs only.
-    sets = texts.join(wanted.distinct().hint("merge"), "id", "left_semi").select(F.col("id").alias("node"), set_udf(words)("text").alias("shingles"))
-    sets = written(sets, "sets")
+    wanted = texts.join(members.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    sets = written(full_sets(wanted, words), "sets")
     links = written(_near(sets, like, pairs), "links")
-    if not long.isEmpty():
-        deeper = _deep_pairs(sets.join(long, "node", "left_semi"), components(links), like, deep)
-        links = links.unionByName(written(_near(sets, like, written(deeper, "deep-candidates")), "deep-links"))
+    first = written(components(links), "first-components")
+    deeper = _estimated(_deep_pairs(sets, _in_mixed_lists(entries, lists, first), first, like, deep), classes, like, k)
+    links = links.unionByName(written(_near(sets, like, written(deeper, "deep-candidates")), "deep-links"))
     named = components(links).withColumnRenamed("component", "__c")
     groups = classes.select("key", "size", "node").join(named, "node", "left")
     groups = groups.select("key", "size", F.coalesce("__c", "node").alias("component_id"))

@@ -70,9 +70,8 @@ def brute_near(rows, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("most", [40, 2])
-def test_near_groups_against_brute_force(spark, most):
-    """With ``most`` = 2 nearly all lists are long ones, which take the deep way."""
+@pytest.mark.parametrize("deep", [1024, 80])
+def test_near_groups_against_brute_force(spark, deep):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     passage = [rng.choice(words) for _ in range(60)]
@@ -85,10 +84,31 @@ def test_near_groups_against_brute_force(spark, most):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             rows.append((len(rows), rng.choice([" ", "\n", "\t"]).join(copy).upper() if rng.random() < 0.2 else " ".join(copy)))
     rows += [(500, None), (501, ""), (502, "  "), (503, "one two"), (504, "ONE\ttwo")]
-    got = near_dedup.near_groups(spark.createDataFrame(rows, KIND), most=most)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, KIND), deep=deep)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_near(rows, 85)
 
 
+def test_a_template_and_a_large_family(spark):
+    """2,000 pages share a template and are alike, yet below the threshold; 1,500 near copies of a page are one group."""
+    rng = random.Random(14)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, page = fresh(330), fresh(300)
+    rows = [(i, " ".join(template + fresh(70))) for i in range(2000)]
+    for i in range(2000, 3500):
+        copy = list(page)
+        copy[rng.randrange(300)] = f"v{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(4000, " ".join(page[:270] + fresh(30))), (4001, " ".join(page[:200] + fresh(100)))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, KIND).repartition(8), percent=80).collect()}
+    assert got == {i: 2000 if 2000 <= i <= 4000 else i for i, _ in rows}
+
+
+def test_odd_rows_of_near_groups(spark, odd):
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(odd).collect()), key=str)
+    expected = [(1, 12, 1, True), (1, 12, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 1, 5, True), (None, 13, None, True), (7, 1, 7, True), (8, 1, 8, True)]
+    assert got == sorted(expected, key=str)
+
+
 def test_defined_results(spark, odd):
     assert exact_dedup.exact_groups(odd).count() == 9 and line_dedup.dedup_lines(odd).count() == 9 and near_dedup.near_groups(odd).count() == 9
     kept = exact_dedup.drop_copies(odd)
