@@ -36,6 +36,8 @@ def _numbers() -> np.ndarray:
 
 
 _NUMBERS = _numbers()
+#: The same for words whose letters are told apart by case.
+_CASED = np.where(np.arange(256) == np.clip(np.arange(256), 65, 90), mixed(_NUMBERS.copy()), _NUMBERS)
 _POWERS = np.cumprod(np.full(1 << 12, _STEP))
 
 
@@ -55,6 +57,13 @@ class Block:
         return len(self.bounds) - 1
 
 
+def names_of(codes: np.ndarray, first: np.ndarray, numbers: np.ndarray = _CASED) -> np.ndarray:
+    """Names of the runs of bytes that begin at the places ``first``, one after another without gaps."""
+    lengths = np.diff(first, append=len(codes))
+    place = np.arange(len(codes), dtype=np.int64) - np.repeat(first, lengths)
+    return mixed(np.add.reduceat(numbers[codes] * _powers(int(lengths.max()))[place], first))
+
+
 def _names(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(names, bounds) of the texts that start at the given places of a run of bytes."""
     solid = _SOLID[raw]
@@ -66,14 +75,11 @@ def _names(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first = np.flatnonzero(begins[solid])
     if not len(first):
         return np.empty(0, np.uint64), bounds
-    codes = raw[solid]
-    lengths = np.diff(first, append=len(codes))
-    place = np.arange(len(codes), dtype=np.int64) - np.repeat(first, lengths)
-    return mixed(np.add.reduceat(_NUMBERS[codes] * _powers(int(lengths.max()))[place], first)), bounds
+    return names_of(raw[solid], first, _NUMBERS), bounds
 
 
-def blocks(texts: pa.Array, size: int = 1 << 19) -> Iterator[Block]:
-    """The words of an Arrow array of strings, some ``size`` bytes of text (one text at least) at a time; null has none."""
+def spans(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, bytes, places) of an Arrow array of strings, some ``size`` bytes (one text at least) at a time; null is empty."""
     if not len(texts):
         return
     texts = texts.fill_null("") if texts.null_count else texts
@@ -84,6 +90,12 @@ def blocks(texts: pa.Array, size: int = 1 << 19) -> Iterator[Block]:
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(places, places[at] + size, "right")) - 1)
-        names, bounds = _names(data[places[at] : places[to]], places[at : to + 1] - places[at])
-        yield Block(at, names, bounds)
+        yield at, data[places[at] : places[to]], places[at : to + 1] - places[at]
         at = to
+
+
+def blocks(texts: pa.Array, size: int = 1 << 19) -> Iterator[Block]:
+    """The words of an Arrow array of strings, some ``size`` bytes of text (one text at least) at a time; null has none."""
+    for first, raw, places in spans(texts, size):
+        names, bounds = _names(raw, places)
+        yield Block(first, names, bounds)

@@ -62,12 +62,16 @@ def test_packing_round_trip(spark, odd):
 
 
 def test_chunk_encoder_equals_the_tokenizer():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    texts = ["a<|endoftext|>b", "It's can't we'LL don''t", "\xc0\xc9 \xdfa Œuvre İ ΣΑΣ", "x=1;y<2 |a| {z}", "a b\x1cc\x85d", "12abc34 A.B.", "日本。", "\x00\x01a ﬁ", "", None]
-    one, own = Tokenizer.from_file(tokenizer(WORD_BPE)), packing.ChunkEncoder(tokenizer(WORD_BPE), 2, most=3)
-    for text, raw in zip(texts * 3, own.encode(texts * 3), strict=True):
-        assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == [*one.encode(text or "", add_special_tokens=False).ids, 2]
+    rng = random.Random(15)
+    bits = [*"aAbBz\xe9\xc9\xdf\xff\xc0\xd7\xf7\xb5\xaa\xba 0123.,;:!?-_'\"<>|#\n\t\x1c\x85\xa0\u0301\u4e2d\u0416\U0001f600\u0130\u03a3\u0152\ufb01\u2163\xbd\x00", "'s", "'LL", "don't", "the", "ing", "<|endoftext|>", "<|EndOfText|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(4000)] + ["", None, "x" * 5000, "\xe9" * 40, "a" * 64, "a" * 65]
+    one, own = Tokenizer.from_file(tokenizer(WORD_BPE)), packing.ChunkEncoder(tokenizer(WORD_BPE), 2, most=300)
+    for size in (1, 500, 1 << 20):
+        for text, raw in zip(texts, own.encode(pa.array(texts), size), strict=True):
+            assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == [*one.encode(text or "", add_special_tokens=False).ids, 2], text
 
 
 def test_byte_bpe_equals_tiktoken(spark, odd):
