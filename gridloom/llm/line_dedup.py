@@ -50,10 +50,17 @@ def dedup_lines(
     )
     common = written(common, "frequent-lines")
     lost = join_groups(keyed, common, "hash", "n_rows", keyed.count()).where("n_docs is not null and not (id <=> last_id)")
-    lost = lost.groupBy("row").agg(F.collect_set("at").alias("lost"))
+    lost = lost.groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("lost"))
     met = named.join(lost, "row", "left")
     every = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(every, lambda line, at: ~F.array_contains("lost", at)), "\n")
+    # The runs of lines between lost ones are cut out whole: a search for each line would take the square.
+    marks = F.concat(F.array(F.lit(-1)), "lost", F.array(F.size("lines")))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("marks") - 2),
+        lambda k: F.slice("lines", F.get("marks", k) + 2, F.get("marks", k + 1) - F.get("marks", k) - 1),
+    )
+    met = met.withColumn("lines", F.when(F.col("lost").isNotNull(), every)).withColumn("marks", marks)
+    left = F.array_join(F.flatten(runs), "\n")
     return met.select(
         F.col("id").alias(id_col),
         F.when(F.col("lost").isNull(), F.col("text")).otherwise(left).alias(text_col),
