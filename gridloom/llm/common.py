@@ -42,6 +42,21 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def with_results(docs: DataFrame, results: dict[str, Column]) -> DataFrame:
+    """docs with further columns. A column of docs that has a result's name stays, with ``_given`` put behind its name."""
+    taken = {c.lower() for c in (*docs.columns, *results)}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += "_given"
+        taken.add(name.lower())
+        return name
+
+    named = {r.lower() for r in results}
+    kept = [F.col(f"`{c}`").alias(free(c) if c.lower() in named else c) for c in docs.columns]
+    return docs.select(*kept, *[v.alias(r) for r, v in results.items()])
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(row, doc): the rows of docs, each as a struct beside a number of its own, as a table on shared storage."""
     return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")

@@ -8,7 +8,7 @@ target.
 ``scored_whole`` has every word of the documents in its vocabulary and every pair of words in its models,
 however rare. Counts of pairs and words are tables on shared storage that grow with the input, and meet the
 documents' own counts in joins; only keys that hold more than one row in a thousand are broadcast. Words are
-named by 64 bits of BLAKE2b: two words of one name would be counted as one, which a hundred million words
+named by 64 bits: two words of one name would be counted as one, which a hundred million words
 make likely in three of ten thousand corpora. A document is split into words once.
 
 ``models`` and ``scored`` are the small form, with a closed vocabulary of the ``size`` - 1 most frequent
@@ -18,7 +18,7 @@ Defined results: null or empty text, or text without words, has no tokens and a
 null id, and rows of docs with one, are never target. A document with several labels is target if one is
 good. Without target documents both models are uniform where they lack counts, and scores are still defined.
 Repeated rows are counted as often as they occur. An empty table gives an empty table. Columns other than
-those named aren't read.
+those named aren't read; one that has the result's name gets ``_given`` behind its own where others are returned.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_groups, written
+from .common import join_groups, with_results, written
+from .words import Block, blocks
 
 SIZE = 2048
 #: A word of more bytes than this is never in the vocabulary.
@@ -165,10 +165,24 @@ def scored(docs: DataFrame, words: Vocabulary, table: np.ndarray, text_col: str
             mean = [round(float(diff[k].mean(dtype=np.float64)), 6) if len(k) else None for k in keys]
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(mean, pa.float64())], ["n_tokens", "score"])
 
-    return docs.withColumn(into, score(F.col(text_col)))
+    return with_results(docs, {into: score(F.col(text_col))})
 
 
-def document_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", held: int = 400_000) -> DataFrame:
+def _pairs_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, before, word, n): the distinct pairs of words of each text of a block, with OTHER before the first word."""
+    word = block.names.view(np.int64)
+    text = np.repeat(np.arange(len(block)), np.diff(block.bounds))
+    before = np.concatenate([[OTHER], word[:-1]])[: len(word)]
+    before[block.bounds[:-1][np.diff(block.bounds) > 0]] = OTHER
+    order = np.lexsort((word, before, text))
+    text, before, word = text[order], before[order], word[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (text[1:] != text[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+    first = np.flatnonzero(new)
+    return text[first], before[first], word[first], np.diff(first, append=len(word))
+
+
+def document_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
     """(row, id, target, before, word, n) for each pair of words of each document, by names of words.
 
     Each document also has one row with n = 0 and no words, which alone bears its id. The first word has OTHER before it.
@@ -179,32 +193,16 @@ def document_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
     def split(batches):
-        names: dict[bytes, int] = {}
-
-        def name(word):
-            if (found := names.get(word)) is None:
-                if len(names) >= held:
-                    names.clear()
-                found = names[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-            return found
-
         for batch in batches:
-            ids = batch.column(1)
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                rows, where, target, before, word, n = [], [], [], [], [], []
-                for k, (row, text, good) in enumerate(zip(some.column(0).to_pylist(), some.column(2), some.column(3).to_pylist(), strict=True)):
-                    at_words = [name(w) for w in words_of(text.as_py())]
-                    counted = Counter(zip([OTHER, *at_words], at_words))  # noqa: B905
-                    many = len(counted) + 1
-                    rows += [row] * many
-                    where += [at + k] + [None] * (many - 1)
-                    target += [good] * many
-                    before += [None, *(b for b, _ in counted)]
-                    word += [None, *(w for _, w in counted)]
-                    n += [0, *counted.values()]
-                columns = [pa.array(rows, pa.int64()), ids.take(pa.array(where, pa.int64())), pa.array(target, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(c, pa.int64()) for c in (before, word, n)], kind.names)
+            for block in blocks(batch.column(2)):
+                text, before, word, n = _pairs_of(block)
+                some = batch.slice(block.first, len(block))
+                none, text = len(block), pa.array(text)
+                ids = pa.concat_arrays([some.column(1), pa.nulls(len(text), some.column(1).type)])
+                columns = [pa.concat_arrays([some.column(k), some.column(k).take(text)]) for k in (0, 3)]
+                pairs = [pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(x)]) for x in (before, word)]
+                counts = pa.array(np.concatenate([np.zeros(none, np.int64), n]))
+                yield pa.RecordBatch.from_arrays([columns[0], ids, columns[1], *pairs, counts], kind.names)
 
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(target_col).alias("target"))
     return given.mapInArrow(split, kind)
