@@ -1,13 +1,13 @@
 """Quality rules by weak supervision.
 
 Each rule votes for a document (1), against it (-1) or abstains (0). Expectation-maximisation over the
-counts of vote patterns estimates how often each rule is right, and a document's posterior probability of
+counts of vote patterns estimates how often each rule does which, given a good and given a bad document, and a document's posterior probability of
 good quality replaces the demand that it pass every rule. The counts cover all documents; there are at most
 3^rules patterns, so what reaches the driver doesn't grow with the input.
 
 Defined results: null or empty text has no words, all counts zero, and fails the base rule. A null id is
 kept as it is; equal rows get equal answers; an empty table gives an empty table and the prior weights.
-Other columns pass through untouched, whatever their names, except those of the result.
+Other columns pass through untouched; one that has a result's name gets ``_given`` behind its own.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, held
+from .common import SPACES, WORD, held, with_results
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_lines long, n_end_lines long, n_distinct long, n_echoes long"
 SYMBOLS = "#*$%&|<>"
@@ -80,7 +80,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", into: str = "__counts")
         rows = list(zip(*(count_text(t.as_py()) for t in texts), strict=True)) or [()] * len(names)
         return pa.StructArray.from_arrays([pa.array(r, pa.int64()) for r in rows], names)
 
-    return docs.withColumn(into, counts(F.col(text_col)))
+    return with_results(docs, {into: counts(F.col(text_col))})
 
 
 @dataclass(frozen=True)
@@ -142,30 +142,37 @@ class VoteModel:
         """Probability that a document is good, from its votes."""
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for vote, g, b in zip(votes, self.good, self.bad, strict=True):
-            against, _, favour = (math.log(x / y) for x, y in zip(g, b, strict=True))
-            odds = odds + F.when(vote == 1, favour).when(vote == -1, against).otherwise(0.0)
+            against, silent, favour = (math.log(x / y) for x, y in zip(g, b, strict=True))
+            odds = odds + F.when(vote == 1, favour).when(vote == -1, against).otherwise(silent)
         return 1 / (1 + F.exp(-odds))
 
 
-def fit_counts(votes: np.ndarray, weight: np.ndarray, rounds: int = 50, smooth: float = 1.0) -> VoteModel:
+def fit_counts(votes: np.ndarray, weight: np.ndarray, rounds: int = 500, smooth: float = 1.0) -> VoteModel:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) and how many documents have each.
 
-    Starts at rules that are right four times in five. Abstaining says nothing about quality. A rule is
-    held to be right more often than wrong, so the two classes can't change places.
+    For each rule and class it estimates how often the rule votes against, abstains and votes for: that a rule
+    which only knows faults stays silent says something too. It starts at rules that speak up against bad
+    documents and for good ones, so the classes keep their names; counts are smoothed by ``smooth`` of each vote.
     """
     rules = votes.shape[1]
-    prior, right = 0.8, np.full((2, rules), 0.8)  # right[0]: votes for, given good; right[1]: votes against, given bad
+    is_vote = [(votes == v).astype(float) for v in (-1, 0, 1)]
+    prior = 0.8
+    chance = np.empty((2, rules, 3))  # given good, given bad
+    for k, start in enumerate(((0.05, 0.6, 0.35), (0.35, 0.6, 0.05))):
+        chance[k] = start
     for _ in range(rounds):
-        fit = np.log(prior) + (votes == 1) @ np.log(right[0]) + (votes == -1) @ np.log(1 - right[0])
-        miss = np.log(1 - prior) + (votes == -1) @ np.log(right[1]) + (votes == 1) @ np.log(1 - right[1])
+        log = np.log(chance)
+        fit, miss = (np.log(p) + sum(is_vote[v] @ log[k, :, v] for v in range(3)) for k, p in enumerate((prior, 1 - prior)))
         post = 1 / (1 + np.exp(np.clip(miss - fit, -500, 500)))
-        g, b = post * weight, (1 - post) * weight
-        prior = float(np.clip((g.sum() + 8 * smooth) / (weight.sum() + 10 * smooth), 0.05, 0.99))
-        for k, (w, sign) in enumerate(((g, 1), (b, -1))):
-            hit, against = w @ (votes == sign), w @ (votes == -sign)
-            right[k] = np.clip((hit + 8 * smooth) / (hit + against + 10 * smooth), 0.55, 0.999)
-    rows = lambda up: tuple((float(1 - x), 1.0, float(x)) for x in up)
-    return VoteModel(prior, rows(right[0]), rows(1 - right[1]))
+        shares = (post * weight, (1 - post) * weight)
+        before, prior = prior, float((shares[0].sum() + 8 * smooth) / (weight.sum() + 10 * smooth))
+        for k, share in enumerate(shares):
+            seen = np.stack([share @ is_vote[v] for v in range(3)], axis=1) + smooth
+            chance[k] = seen / seen.sum(axis=1, keepdims=True)
+        if abs(prior - before) < 1e-12:
+            break
+    good, bad = (tuple(tuple(map(float, row)) for row in chance[k]) for k in range(2))
+    return VoteModel(prior, good, bad)
 
 
 def fit(counted: DataFrame, rules=RULES, into: str = "__counts") -> VoteModel:
@@ -182,10 +189,11 @@ def judged(counted: DataFrame, model: VoteModel, rules=RULES, into: str = "__cou
     c = F.col(into)
     quality = model.posterior([r.vote(c) for r in rules])
     failed = base_failed(c)
-    return counted.withColumns({"base_failed": failed, "quality": F.round(quality, 6), "kept": ~failed & (quality >= least)})
+    return with_results(counted, {"base_failed": failed, "quality": F.round(quality, 6), "kept": ~failed & (quality >= least)})
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that stay, columns as they were. Texts are counted twice and stored nowhere."""
     model = fit(with_counts(docs.select(text_col), text_col))
-    return judged(with_counts(docs, text_col), model).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    return judged(with_counts(rows, "text"), model).where("kept").select("doc.*")
