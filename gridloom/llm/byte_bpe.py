@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, with_results
 
 #: One letter for each byte; none is white space or means anything to sentencepiece.
 LETTERS = [chr(0x4E00 + b) for b in range(256)]
@@ -162,5 +162,5 @@ def digests_udf(path: str, pattern: str):
 
 
 def encoded(docs, path: str, pattern: str, text: Column | str = "text", into: str = "ids"):
-    """docs with the ids of each text."""
-    return docs.withColumn(into, encode_udf(path, pattern)(text if isinstance(text, Column) else F.col(text)))
+    """docs with the ids of each text; a column of docs that has the result's name gets ``_given`` behind its own."""
+    return with_results(docs, {into: encode_udf(path, pattern)(text if isinstance(text, Column) else F.col(text))})

@@ -11,7 +11,8 @@ top n-grams are found by partial rank limits, and only languages times profile l
 Defined results: null text, or text without a letter, is ``und`` with score 0, and so is every text where
 nothing could be learned. Rows of null language teach nothing. Of languages at one distance the first by name
 wins; of n-grams of one frequency the first by code points. Equal rows get equal answers, and null ids don't
-matter here. An empty table gives an empty table. Columns other than those named aren't read.
+matter here. An empty table gives an empty table. Columns other than those named aren't read; one that has the
+result's name gets ``_given`` behind its own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import with_results
+
 LONGEST, RANKS = 3, 400
 #: Bits of a code point; three of them are one n-gram's number.
 _BITS = 21
@@ -151,4 +154,4 @@ def identified(docs: DataFrame, profiles: Profiles, text: Column | str = "text",
             columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
 
-    return docs.withColumn(into, judge(text if isinstance(text, Column) else F.col(text)))
+    return with_results(docs, {into: judge(text if isinstance(text, Column) else F.col(text))})

@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, check digits confirm them, words before them adjust the score.
+"""Personal data: patterns propose spans, check digits confirm them, words near them adjust the score.
 
 DataFrame functions only. A text is split at a pattern's matches; the lengths of the pieces and of the
 matches give the positions, in code points. Patterns are written so that the search takes linear time and
@@ -8,7 +8,8 @@ Base kinds are email, ip, card and phone, whose spans stay whatever their score;
 id numbers (which need a word that says so) are added. Spans of different kinds may overlap.
 
 Defined results: null text is the empty text and has no spans. Null or repeated ids don't matter, as rows
-are handled one by one, and other columns pass through. An empty table gives an empty table.
+are handled one by one, and other columns pass through; one that has the result's name gets ``_given``
+behind its own. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_results
+
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -126,13 +129,16 @@ ADDED = (
     ),
 )
 KINDS = BASE + ADDED
-NEAR = 48
+#: Code points that are searched for context words before and after a match.
+NEAR, AFTER = 48, 24
 BLOCK = 256
 
 
-def _score(kind: Kind, before: Column) -> Column:
-    near = F.lower(F.right(before, F.lit(NEAR)))
-    return kind.score + F.when(near.rlike(kind.helps), 0.3).otherwise(0.0) - F.when(near.rlike(kind.hurts), 0.3).otherwise(0.0)
+def _score(kind: Kind, before: Column, after: Column) -> Column:
+    """Helpful words count before and after a match, unhelpful ones before it."""
+    before, after = F.lower(F.right(before, F.lit(NEAR))), F.lower(F.left(after, F.lit(AFTER)))
+    helped = before.rlike(kind.helps) | after.rlike(kind.helps)
+    return kind.score + F.when(helped, 0.3).otherwise(0.0) - F.when(before.rlike(kind.hurts), 0.3).otherwise(0.0)
 
 
 def _running(values: Column, add) -> Column:
@@ -171,7 +177,7 @@ def _proposed(frame: DataFrame, kind: Kind) -> DataFrame:
             (F.get("__starts", at) + F.length(m)).alias("end"),
             F.lit(kind.name).alias("kind"),
             m.alias("value"),
-            F.round(_score(kind, F.get("__p", at)), 2).alias("score"),
+            F.round(_score(kind, F.get("__p", at), F.get("__p", at + 1)), 2).alias("score"),
         ),
     )
     kept = F.filter(spans, lambda s: kind.valid(s["value"]) & (s["score"] >= kind.least))
@@ -180,11 +186,13 @@ def _proposed(frame: DataFrame, kind: Kind) -> DataFrame:
 
 def find(docs: DataFrame, text_col: str = "text", into: str = "spans") -> DataFrame:
     """docs with all spans of each text, in order of start, then of kind."""
-    frame = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    frame = docs.select(F.struct("*").alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     for kind in KINDS:
         frame = _proposed(frame, kind)
     every = F.array_sort(F.concat(*[f"__{k.name}" for k in KINDS]))
-    return frame.withColumn(into, every).drop("__text", *[f"__{k.name}" for k in KINDS])
+    found = frame.select("__doc", every.alias("__every"))
+    names = with_results(docs, {into: F.lit(None)}).columns
+    return found.select(*[F.col("__doc")[c].alias(n) for c, n in zip(docs.columns, names, strict=False)], F.col("__every").alias(into))
 
 
 def listed(spans: Column) -> Column:

@@ -13,7 +13,8 @@ fewer than HEAVY times the keys of a URL, are broadcast. Pages themselves (html)
 Defined results: a null or empty URL, or one without a host, has no keys and is allowed. A null time meets no
 interval. Entries with a null key, category or date are ignored. Of entries that repeat or contradict each
 other at one moment, adding wins. Captures that repeat are each returned. An empty list allows everything; an
-empty table gives an empty table. Columns other than those named pass through only where asked for.
+empty table gives an empty table. Other columns pass through; one that has a result's name gets ``_given``
+behind its own.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import HEAVY, join_groups, written
+from .common import HEAVY, join_groups, with_results, written
 
 
 def host_of(url: Column) -> Column:
     """Host in lower case, without user, port and final dot; null where there is none."""
-    host = F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    host = F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1)
     host = F.regexp_replace(F.lower(host), r"\.+$", "")
     return F.when(host != "", host)
 
@@ -90,6 +91,11 @@ def judged(captures: DataFrame, log: DataFrame, url_col: str = "url", at_col: st
     best = F.min(F.struct((-parts).alias("p"), "key", "category"))
     found = met.groupBy("url", "at").agg(F.count("*").alias("n_active"), best.alias("best"), F.first("n").alias("n"))
     found = found.select("url", "at", "n_active", F.col("best.key").alias("listed_key"), F.col("best.category").alias("category"), "n")
-    found = written(found.withColumnsRenamed({"url": url_col, "at": at_col}), "verdicts")
-    done = join_groups(captures, found, [url_col, at_col], "n", captures.count()).drop("n")
-    return done.withColumns({"n_active": F.coalesce("n_active", F.lit(0)).cast("long"), "allowed": F.col("listed_key").isNull()})
+    found = written(found, "verdicts")
+    rows = captures.select(F.struct("*").alias("doc"), F.col(url_col).alias("url"), F.col(at_col).alias("at"))
+    done = join_groups(rows, found, ["url", "at"], "n", captures.count())
+    active = F.coalesce("n_active", F.lit(0)).cast("long")
+    made = {"n_active": active, "listed_key": F.col("listed_key"), "category": F.col("category"), "allowed": F.col("listed_key").isNull()}
+    names = with_results(captures, dict.fromkeys(made, F.lit(None))).columns
+    given = [F.col("doc")[c].alias(n) for c, n in zip(captures.columns, names, strict=False)]
+    return done.select(*given, *[c.alias(n) for n, c in made.items()])
