@@ -6,8 +6,8 @@ similar sketches share so many values that they must share one of each one's rar
 listed. The k smallest values of two sketches together estimate the similarity and filter the pairs; the
 Jaccard similarity of the full sets decides.
 
-No list is expanded into all its pairs, whatever its size. First each member of a list is paired with the
-list's smallest, which joins families of near copies. Then the members of lists that still hold different
+No list is expanded into all its pairs, whatever its size. First each document is paired with one, the
+smallest of most of its lists, which joins families of near copies. Then the members of lists that still hold different
 components are listed anew with sketches sixteen times as deep, where rank and size rule out almost every
 pair, and only pairs of different components are compared. No list is capped or skipped.
 
@@ -155,9 +155,14 @@ def _near(sets: DataFrame, like: Similar, pairs: DataFrame) -> DataFrame:
 
 
 def _star_pairs(entries: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each member of a list with the smallest; ``lists`` has (value, size, low)."""
+    """Each node with one other, so pairs are no more than nodes; ``lists`` has (value, size, low).
+
+    Of the smallest nodes of its lists it is the one that most of them share, the smallest of equals.
+    """
     met = join_groups(entries.select("value", "node"), lists, "value", "size", entries.count())
-    return met.where("low is not null and node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    overlaps = met.where("low is not null and node <> low").groupBy("node", "low").agg(F.count("*").alias("shared"))
+    best = overlaps.groupBy("node").agg(F.min(F.struct((-F.col("shared")).alias("fewest"), "low")).alias("best"))
+    return best.select(F.col("best.low").alias("a"), F.col("node").alias("b"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, like: Similar, k: int) -> DataFrame:
