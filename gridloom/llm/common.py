@@ -108,8 +108,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     known = written(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
     )
-    mark = None
-    while True:
+
+    def sign(edges: DataFrame):
+        return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    mark = sign(known)
+    while mark[0]:
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Tables on both sides of a join: then Spark splits the rows of a hub, which an aggregate beneath would forbid.
         low = written(both.groupBy("u").agg(F.min("v").alias("m")), "lowest")
@@ -120,7 +124,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         known = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = known.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = sign(known)
         if now == mark:
             break
         mark = now
