@@ -7,7 +7,8 @@ listed. The k smallest values of two sketches together estimate the similarity a
 Jaccard similarity of the full sets decides.
 
 No list is expanded into all its pairs, whatever its size. First each document is paired with one, the
-smallest of most of its lists, which joins families of near copies. Then the members of lists that still hold different
+pivot of most of its lists, which joins families of near copies: a list's pivot is the member whose
+values lie in most sketches on average, so the text that the others were made from, not one of them. Then the members of lists that still hold different
 components are listed anew with sketches sixteen times as deep, where rank and size rule out almost every
 pair, and only pairs of different components are compared. No list is capped or skipped.
 
@@ -131,9 +132,10 @@ class Similar:
 
 
 def listed(sketches: DataFrame, like: Similar, k: int) -> DataFrame:
-    """(value, node, n, rank): the rarest values of each sketch, with their rank from the rarest up.
+    """(value, node, n, rank, spread): the rarest values of each sketch, with their rank from the rarest up.
 
-    ``sketches`` has (node, n, sketch). Values in one sketch only are counted in the ranks but not listed.
+    ``sketches`` has (node, n, sketch). Values in one sketch only are counted in the ranks but not listed;
+    ``spread`` is the mean number of sketches that hold a value of the node's.
     """
     each = sketches.select("node", "n", F.explode("sketch").alias("value"))
     often = written(each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")
@@ -141,8 +143,9 @@ def listed(sketches: DataFrame, like: Similar, k: int) -> DataFrame:
     shared = join_groups(each, often, "value", "df", total).where("df is not null").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     alone = F.least("n", F.lit(k)) - F.size("v")
     kept = F.slice("v", F.lit(1), F.greatest(like.prefix(F.col("n"), k) - alone, F.lit(0)).cast("int"))
-    cut = shared.select("node", "n", alone.alias("alone"), F.posexplode(kept).alias("at", "v"))
-    return cut.select("v.value", "node", "n", (F.col("alone") + F.col("at")).alias("rank"))
+    spread = (F.aggregate("v", F.lit(0).cast("long"), lambda total, v: total + v["df"]) + alone) / F.least("n", F.lit(k))
+    cut = shared.select("node", "n", alone.alias("alone"), spread.alias("spread"), F.posexplode(kept).alias("at", "v"))
+    return cut.select("v.value", "node", "n", (F.col("alone") + F.col("at")).alias("rank"), "spread")
 
 
 def _near(sets: DataFrame, like: Similar, pairs: DataFrame) -> DataFrame:
@@ -155,14 +158,15 @@ def _near(sets: DataFrame, like: Similar, pairs: DataFrame) -> DataFrame:
 
 
 def _star_pairs(entries: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each node with one other, so pairs are no more than nodes; ``lists`` has (value, size, low).
+    """Each node with one other, so pairs are no more than nodes; ``lists`` has (value, size, pivot).
 
-    Of the smallest nodes of its lists it is the one that most of them share, the smallest of equals.
+    Of the pivots of its lists it is the one that most of them share, the smallest of equals.
     """
     met = join_groups(entries.select("value", "node"), lists, "value", "size", entries.count())
-    overlaps = met.where("low is not null and node <> low").groupBy("node", "low").agg(F.count("*").alias("shared"))
-    best = overlaps.groupBy("node").agg(F.min(F.struct((-F.col("shared")).alias("fewest"), "low")).alias("best"))
-    return best.select(F.col("best.low").alias("a"), F.col("node").alias("b"))
+    overlaps = met.where("pivot is not null and node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared"))
+    best = overlaps.groupBy("node").agg(F.min(F.struct((-F.col("shared")).alias("fewest"), "pivot")).alias("best"))
+    pairs = best.select(F.least("best.pivot", "node").alias("a"), F.greatest("best.pivot", "node").alias("b"))
+    return pairs.distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, like: Similar, k: int) -> DataFrame:
@@ -239,9 +243,10 @@ def near_groups(
     )
     classes = written(classes, "classes")
     entries = written(listed(classes, like, k), "lists")
-    lists = written(entries.groupBy("value").agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1"), "list-sizes")
+    pivot = F.min(F.struct((-F.col("spread")).alias("narrow"), "node"))["node"]
+    lists = written(entries.groupBy("value").agg(F.count("*").alias("size"), pivot.alias("pivot")).where("size > 1"), "list-sizes")
     pairs = written(_estimated(_star_pairs(entries, lists), classes, like, k), "candidates")
-    members = join_groups(entries.select("value", "node"), lists, "value", "size", entries.count()).where("low is not null")
+    members = join_groups(entries.select("value", "node"), lists, "value", "size", entries.count()).where("pivot is not null")
     # Sorted and merged at every size: a broadcast of the wanted ids would do for small inputs only.
     wanted = texts.join(members.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
     sets = written(full_sets(wanted, words), "sets")
