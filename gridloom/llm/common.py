@@ -15,6 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: With it, an execution's shuffle files go when it ends; without, when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,11 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 def written(frame: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
-    The table is removed when the driver's JVM ends.
+    The table is removed when the driver's JVM ends, the shuffle files that its making took as soon as it is written.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)

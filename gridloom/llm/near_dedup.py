@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, join_groups, numbered, written
+from .common import HEAVY, components, join_groups, numbered, written
 from .words import blocks, mixed
 
 WORDS = 5
@@ -131,6 +131,20 @@ class Similar:
         return F.when(n <= self.whole(k), exact).otherwise(F.ceil(n * 100 / self.percent))
 
 
+def _join_values(rows: DataFrame, groups: DataFrame, size: str, total: int) -> DataFrame:
+    """``join_groups`` on ``value``, for a table of groups: the driver reads the heavy values, fewer than HEAVY.
+
+    So a filter tells their rows apart, not a join, and without heavy values there is one join only.
+    """
+    heavy = F.col(size) * HEAVY > F.lit(total)
+    values = [r[0] for r in groups.where(heavy).select("value").collect()]
+    if not values:
+        return rows.join(groups, "value", "left")
+    hot = F.col("value").isin(values)
+    first = rows.where(hot).join(F.broadcast(groups.where(heavy)), "value")
+    return first.unionByName(rows.where(~hot).join(groups.where(~heavy), "value", "left"))
+
+
 def listed(sketches: DataFrame, like: Similar, k: int) -> DataFrame:
     """(value, node, n, rank, spread): the rarest values of each sketch, with their rank from the rarest up.
 
@@ -140,7 +154,7 @@ def listed(sketches: DataFrame, like: Similar, k: int) -> DataFrame:
     each = sketches.select("node", "n", F.explode("sketch").alias("value"))
     often = written(each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")
     total = sketches.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    shared = join_groups(each, often, "value", "df", total).where("df is not null").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    shared = _join_values(each, often, "df", total).where("df is not null").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     alone = F.least("n", F.lit(k)) - F.size("v")
     kept = F.slice("v", F.lit(1), F.greatest(like.prefix(F.col("n"), k) - alone, F.lit(0)).cast("int"))
     spread = (F.aggregate("v", F.lit(0).cast("long"), lambda total, v: total + v["df"]) + alone) / F.least("n", F.lit(k))
@@ -162,7 +176,7 @@ def _star_pairs(entries: DataFrame, lists: DataFrame) -> DataFrame:
 
     Of the pivots of its lists it is the one that most of them share, the smallest of equals.
     """
-    met = join_groups(entries.select("value", "node"), lists, "value", "size", entries.count())
+    met = _join_values(entries.select("value", "node"), lists, "size", entries.count())
     overlaps = met.where("pivot is not null and node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared"))
     best = overlaps.groupBy("node").agg(F.min(F.struct((-F.col("shared")).alias("fewest"), "pivot")).alias("best"))
     pairs = best.select(F.least("best.pivot", "node").alias("a"), F.greatest("best.pivot", "node").alias("b"))
@@ -185,7 +199,7 @@ def _in_mixed_lists(entries: DataFrame, lists: DataFrame, known: DataFrame) -> D
     named = entries.select("value", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kinds = named.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     kinds = written(kinds.join(lists.select("value", "size"), "value"), "mixed-lists")
-    met = join_groups(named.select("value", "node"), kinds, "value", "size", entries.count())
+    met = _join_values(named.select("value", "node"), kinds, "size", entries.count())
     return written(met.where("size is not null").select("node").distinct(), "mixed-nodes")
 
 
@@ -204,7 +218,7 @@ def _deep_pairs(sets: DataFrame, nodes: DataFrame, known: DataFrame, like: Simil
     held = entries.groupBy("value", "component").agg(F.count("*").alias("c"))
     lists = held.groupBy("value").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts"), F.sum("c").alias("size"))
     lists = written(lists.where("parts > 1").select("value", "main", "size"), "deep-sizes")
-    entries = join_groups(entries, lists, "value", "size", entries.count()).where("main is not null")
+    entries = _join_values(entries, lists, "size", entries.count()).where("main is not null")
     entries = entries.withColumn("in_main", F.col("component") == F.col("main"))
     band = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / math.log(1.02)).cast("int")
     least = F.ceil(n * like.percent / 100)
@@ -246,7 +260,7 @@ def near_groups(
     pivot = F.min(F.struct((-F.col("spread")).alias("narrow"), "node"))["node"]
     lists = written(entries.groupBy("value").agg(F.count("*").alias("size"), pivot.alias("pivot")).where("size > 1"), "list-sizes")
     pairs = written(_estimated(_star_pairs(entries, lists), classes, like, k), "candidates")
-    members = join_groups(entries.select("value", "node"), lists, "value", "size", entries.count()).where("pivot is not null")
+    members = _join_values(entries.select("value", "node"), lists, "size", entries.count()).where("pivot is not null")
     # Sorted and merged at every size: a broadcast of the wanted ids would do for small inputs only.
     wanted = texts.join(members.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
     sets = written(full_sets(wanted, words), "sets")

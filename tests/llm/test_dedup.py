@@ -118,3 +118,13 @@ def test_defined_results(spark, odd):
     for empty in (odd.limit(0),):
         for f in (exact_dedup.exact_groups, line_dedup.dedup_lines, near_dedup.near_groups):
             assert f(empty).count() == 0
+
+
+def test_heavy_values_take_no_anti_join(spark):
+    """Rows of heavy values are told apart by a filter: each row goes through one join, and none is lost."""
+    rows = spark.createDataFrame([(1, i) for i in range(3000)] + [(2 + i // 2, i) for i in range(600)], "value long, node long")
+    groups = spark.createDataFrame([(1, 3000)] + [(2 + i, 2) for i in range(200)], "value long, size long")
+    got = near_dedup._join_values(rows, groups, "size", 3600)
+    assert "LeftAnti" not in got._jdf.queryExecution().toString()
+    sizes = {1: 3000, **{2 + i: 2 for i in range(200)}}
+    assert sorted(map(tuple, got.select("value", "node", "size").collect()), key=str) == sorted(((r[0], r[1], sizes.get(r[0])) for r in rows.collect()), key=str)
