@@ -6,10 +6,12 @@ document's score is the mean difference, background loss minus target loss: the
 target.
 
 ``scored_whole`` has every word of the documents in its vocabulary and every pair of words in its models,
-however rare. Counts of pairs and words are tables on shared storage that grow with the input, and meet the
-documents' own counts in joins; only keys that hold more than one row in a thousand are broadcast. Words are
-named by 64 bits: two words of one name would be counted as one, which a hundred million words
-make likely in three of ten thousand corpora. A document is split into words once.
+however rare. Documents are kept in blocks of some megabytes of text. A block sends each distinct pair of its
+words once, with its counts, to the bucket of the pair's name; buckets add up over all blocks and send the sums
+back in the block's order, so neither names of words nor documents travel with them; words and contexts go the
+same way. Names and counts go as packed arrays, some hundred to a row. However often a word or a pair occurs, it
+is one number a block. Words, and pairs, are named by 64 bits: two words of one name would be counted as one,
+which a hundred million words make likely in three of ten thousand corpora, two billion pairs in one of ten.
 
 ``models`` and ``scored`` are the small form, with a closed vocabulary of the ``size`` - 1 most frequent
 words and a sign for all others, for callers that want a table of fixed size.
@@ -33,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_groups, with_results, written
-from .words import Block, blocks
+from .common import with_results, written
+from .words import blocks, mixed, spans
 
 SIZE = 2048
 #: A word of more bytes than this is never in the vocabulary.
@@ -168,94 +170,199 @@ def scored(docs: DataFrame, words: Vocabulary, table: np.ndarray, text_col: str
     return with_results(docs, {into: score(F.col(text_col))})
 
 
-def _pairs_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, before, word, n): the distinct pairs of words of each text of a block, with OTHER before the first word."""
-    word = block.names.view(np.int64)
-    text = np.repeat(np.arange(len(block)), np.diff(block.bounds))
-    before = np.concatenate([[OTHER], word[:-1]])[: len(word)]
-    before[block.bounds[:-1][np.diff(block.bounds) > 0]] = OTHER
-    order = np.lexsort((word, before, text))
-    text, before, word = text[order], before[order], word[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (text[1:] != text[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])
-    first = np.flatnonzero(new)
-    return text[first], before[first], word[first], np.diff(first, append=len(word))
+#: Bytes of text beyond which a block of documents ends, and of all texts for a bucket of keys.
+BLOCK, BUCKET = 8 << 20, 12 << 20
+#: Rows beyond which a block ends though its texts are short, and the least number of buckets.
+BLOCK_ROWS, BUCKETS = 1 << 18, 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_ASKED = "bucket long, block long, n long, keys binary, counts binary"
+_ANSWERED = "kind long, block long, bucket long, n long, sums binary, kinds long, kinds_target long, every long, every_target long"
 
 
-def document_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
-    """(row, id, target, before, word, n) for each pair of words of each document, by names of words.
+def _packed(raw: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, so the high bytes of small ones, all zero, take next to nothing."""
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, raw.itemsize).T) if raw.size else raw
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
-    Each document also has one row with n = 0 and no words, which alone bears its id. The first word has OTHER before it.
-    """
+
+def _unpacked(data: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, n * width, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def text_blocks(docs: DataFrame, most: int = BLOCK, most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, ids, targets, size, places, data) of (id, text, target): a row for the documents of some ``most`` bytes, not over ``most_rows``."""
     kind = T.StructType(
-        [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("target", T.BooleanType())]
-        + [T.StructField(c, T.LongType()) for c in ("before", "word", "n")]
+        [T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType)), T.StructField("targets", T.ArrayType(T.BooleanType()))]
+        + [T.StructField("size", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("data", T.BinaryType())]
     )
 
-    def split(batches):
+    def work(batches):
+        from pyspark import TaskContext
+
+        number, parts, size, rows = TaskContext.get().partitionId() << 33, [], 0, 0
+
+        def out():
+            ids, targets = (pa.concat_arrays([p[k] for p in parts]) for k in (0, 1))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, targets)]
+            data = np.concatenate([p[2] for p in parts])
+            places = np.cumsum(np.concatenate([[0], *[np.diff(p[3]) for p in parts]])).astype(np.int64)
+            blobs = [pa.array([x], pa.binary()) for x in (_packed(places), _packed(data))]
+            return pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([len(data)]), *blobs], kind.names)
+
         for batch in batches:
-            for block in blocks(batch.column(2)):
-                text, before, word, n = _pairs_of(block)
-                some = batch.slice(block.first, len(block))
-                none, text = len(block), pa.array(text)
-                ids = pa.concat_arrays([some.column(1), pa.nulls(len(text), some.column(1).type)])
-                columns = [pa.concat_arrays([some.column(k), some.column(k).take(text)]) for k in (0, 3)]
-                pairs = [pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(x)]) for x in (before, word)]
-                counts = pa.array(np.concatenate([np.zeros(none, np.int64), n]))
-                yield pa.RecordBatch.from_arrays([columns[0], ids, columns[1], *pairs, counts], kind.names)
+            for first, data, places in spans(batch.column(1), most // 4):
+                n = len(places) - 1
+                if parts and (size + len(data) > most or rows + n > most_rows):
+                    yield out()
+                    number, parts, size, rows = number + 1, [], 0, 0
+                # Copies: a slice would hold its whole batch in memory.
+                take = pa.array(np.arange(first, first + n))
+                parts.append((batch.column(0).take(take), batch.column(2).take(take), data.copy(), places))
+                size, rows = size + len(data), rows + n
+        if parts:
+            yield out()
+
+    return docs.select("id", "text", "target").mapInArrow(work, kind)
+
+
+class _Counted:
+    """The words and pairs of words of a block, by sorted names; the first word of a text has OTHER before it."""
+
+    def __init__(self, targets: np.ndarray, size: int, places: bytes, data: bytes):
+        places, data = _unpacked(places, len(targets) + 1, np.int64), _unpacked(data, size, np.uint8)
+        texts = pa.LargeStringArray.from_buffers(len(targets), pa.py_buffer(places), pa.py_buffer(data))
+        parts = list(blocks(texts))  # naming takes many times a piece's bytes, so it goes by small ones
+        names, self.n = np.concatenate([p.names for p in parts]), np.concatenate([np.diff(p.bounds) for p in parts])
+        self.text = np.repeat(np.arange(len(targets)), self.n)
+        self.target = targets[self.text]
+        self.words, at = np.unique(np.concatenate([np.array([OTHER], np.uint64), names]), return_inverse=True)
+        self.word, self.before = at[1:], np.concatenate([at[:1], at[1:-1]])[: len(at) - 1]
+        self.before[(np.cumsum(self.n) - self.n)[self.n > 0]] = at[0]
+        names = mixed(self.words[self.before] * _STEP + self.words[self.word])
+        self.pairs, self.first, self.pair = np.unique(names, return_index=True, return_inverse=True)
+
+    def both(self, at: np.ndarray, many: int) -> list[np.ndarray]:
+        """How often each number occurs, in all texts and in target ones."""
+        return [np.bincount(at, minlength=many), np.bincount(at[self.target], minlength=many)]
+
+    def pair_counts(self) -> np.ndarray:
+        return np.array(self.both(self.pair, len(self.pairs)))
+
+    def word_counts(self, owned: np.ndarray) -> np.ndarray:
+        """Each word's occurrences, those as a context, and the pairs it begins that the block counts for all blocks."""
+        many, begins = len(self.words), self.before[self.first]
+        follow = [np.bincount(begins[own > 0], minlength=many) for own in owned]
+        return np.array([*self.both(self.word, many), *self.both(self.before, many), *follow])
+
+
+def _counted(table) -> _Counted:
+    """Of a table or batch of one block."""
+    targets = np.array(table.column("targets").to_pylist()[0], bool)
+    return _Counted(targets, *(table.column(c)[0].as_py() for c in ("size", "places", "data")))
+
+
+def _asked(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket, a range of keys: sorted keys as differences, and their counts in the block."""
+    at = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
+    rows = [(k, a, b) for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if a < b]
+    columns = [[k for k, _, _ in rows], [block] * len(rows), [b - a for _, a, b in rows]]
+    blobs = [[_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in rows], [_packed(counts[:, a:b].ravel()) for _, a, b in rows]]
+    arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(b, pa.binary()) for b in blobs]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "n", "keys", "counts"])
+
+
+def _answered(asked: DataFrame, kind: int, many: int, owners: bool) -> DataFrame:
+    """To each block the sums over all blocks of its keys' ``many`` counts, in its order of keys.
+
+    With ``owners``, two more rows of numbers: 1 where of all blocks with the key (and with it in target
+    texts) this one counts it. The last four columns, in one row a bucket, are the keys whose first (second)
+    sum isn't zero and these sums' totals.
+    """
 
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(target_col).alias("target"))
-    return given.mapInArrow(split, kind)
+    def work(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        ends = np.cumsum(n)
+        keys = np.concatenate([np.cumsum(_unpacked(d.as_py(), k, np.uint64)) for d, k in zip(table.column("keys"), n.tolist(), strict=True)])
+        counts = np.concatenate([_unpacked(d.as_py(), many * k, np.int64).reshape(many, k) for d, k in zip(table.column("counts"), n.tolist(), strict=True)], 1)
+        names, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        sums = np.array([np.bincount(at, c, len(names)) for c in counts]).astype(np.int64)
+        told = sums[:, at]
+        if owners:
+            own = np.zeros((2, len(keys)), np.int64)
+            own[0, first] = 1
+            target = np.flatnonzero(counts[1])
+            own[1, target[np.unique(at[target], return_index=True)[1]]] = 1
+            told = np.concatenate([told, own])
+        blobs = [_packed(told[:, b - k : b].ravel()) for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
+        totals = np.zeros((4, len(n)), np.int64)
+        totals[:, 0] = [np.count_nonzero(sums[0]), np.count_nonzero(sums[1]), sums[0].sum(), sums[1].sum()]
+        columns = [pa.array(np.full(len(n), kind)), table.column("block"), table.column("bucket"), table.column("n"), pa.array(blobs, pa.binary()), *map(pa.array, totals)]
+        return pa.table(columns, names=[c.split()[0] for c in _ANSWERED.split(", ")])
 
+    return asked.groupBy("bucket").applyInArrow(work, _ANSWERED)
 
-def pair_differences(own: DataFrame) -> DataFrame:
-    """(before, word, n_docs, d): background loss minus target loss of every pair of ``document_pairs``.
 
-    Smoothed as in ``log_probabilities``; the vocabulary is every word of the background.
-    """
-    good = F.col("target")
-    sums = own.groupBy("before", "word").agg(
-        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0)).alias("n_target"), F.count("*").alias("n_docs")
-    )
-    pairs = written(sums, "pairs")
-    had = F.count(F.when(F.col("n_target") > 0, 1))
-    words = written(pairs.groupBy("word").agg(F.sum("n").alias("single"), F.sum("n_target").alias("single_target"), F.count("*").alias("n_before")), "words")
-    contexts = pairs.groupBy("before").agg(
-        F.sum("n").alias("total"), F.count("*").alias("follow"), F.sum("n_target").alias("total_target"), had.alias("follow_target")
-    )
-    contexts = written(contexts, "contexts")
-    known = words.agg(F.count("*"), F.sum("single"), F.count(F.when(F.col("single_target") > 0, 1)), F.sum("single_target")).first()
-    kinds, every, kinds_target, every_target = (x or 0 for x in known)
-    if not kinds:
-        return pairs.select("before", "word", "n_docs", F.lit(0.0).alias("d"))
-    words = words.select(
-        "word",
-        "n_before",
-        ((F.col("single") + 1.0) / (every + kinds)).alias("base"),
-        ((F.col("single_target") + kinds_target / kinds) / (every_target + kinds_target) if kinds_target else F.lit(1.0 / kinds)).alias("base_target"),
-    )
-    many = pairs.count()
-    met = written(join_groups(pairs, contexts, "before", "follow", many), "pairs-in-context")
-    met = join_groups(met, written(words, "bases"), "word", "n_before", many)
+def _told(answers: pa.Table, kind: int, many: int) -> np.ndarray:
+    """The sums for a block's keys, in their order."""
+    rows = [r for r in answers.select(["kind", "bucket", "n", "sums"]).to_pylist() if r["kind"] == kind]
+    parts = [_unpacked(r["sums"], many * r["n"], np.int64).reshape(many, -1) for r in sorted(rows, key=lambda r: r["bucket"])]
+    return np.concatenate(parts, 1) if parts else np.empty((many, 0), np.int64)
 
-    def loss(n, follow, total, base):
-        mixed = (F.col(n) + F.col(follow) * F.col(base)) / (F.col(total) + F.col(follow))
-        return F.log(F.when(F.col(total) > 0, mixed).otherwise(F.col(base)))
 
-    d = loss("n_target", "follow_target", "total_target", "base_target") - loss("n", "follow", "total", "base")
-    return met.select("before", "word", "n_docs", d.alias("d"))
+PAIRS, WORDS = 0, 1
 
 
 def scored_whole(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "lm") -> DataFrame:
-    """The id of each row of docs with a struct of n_tokens and score, by models of every pair of words of docs."""
+    """The id of each row of docs with a struct of n_tokens and score, by models of every pair of words of docs.
+
+    Blocks of documents ask for the counts of their distinct pairs, then of their words and contexts, and
+    are scored with the answers. Smoothed as in ``log_probabilities``; the vocabulary is every word of docs.
+    """
     named = good.select(F.col(id_col).alias("__id")).distinct().withColumn("target", F.lit(True))
     met = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(named.hint("merge"), "__id", "left")
-    met = met.withColumn("target", F.coalesce("target", F.lit(False)))
-    all_ = written(document_pairs(met, "__id"), "document-pairs")
-    own = all_.where("n > 0")
-    differences = written(pair_differences(own), "differences")
-    found = join_groups(own.select("row", "before", "word", "n"), differences, ["before", "word"], "n_docs", own.count())
-    parts = found.select("row", F.lit(None).cast(all_.schema["id"].dataType).alias("id"), "n", (F.col("n") * F.col("d")).alias("d"))
-    parts = parts.unionByName(all_.where("n = 0").select("row", "id", "n", F.lit(None).cast("double").alias("d")))
-    sums = parts.groupBy("row").agg(F.max("id").alias(id_col), F.sum("n").alias("n"), F.sum("d").alias("d"))
-    return sums.select(id_col, F.struct(F.col("n").alias("n_tokens"), F.round(F.col("d") / F.col("n"), 6).alias("score")).alias(into))
+    known = written(text_blocks(met.select(F.col("__id").alias("id"), "text", F.coalesce("target", F.lit(False)).alias("target"))), "text-blocks")
+    buckets = max(BUCKETS, -(-(known.agg(F.sum("size")).first()[0] or 0) // BUCKET))
+
+    def ask_pairs(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                counted = _counted(row)
+                yield _asked(row.column("block")[0].as_py(), counted.pairs, counted.pair_counts(), buckets)
+
+    pairs = written(_answered(known.mapInArrow(ask_pairs, _ASKED), PAIRS, 2, True), "pair-sums")
+
+    def ask_words(block: pa.Table, answers: pa.Table) -> pa.Table:
+        counted = _counted(block)
+        owned = _told(answers, PAIRS, 4)[2:]
+        return pa.Table.from_batches([_asked(block.column("block")[0].as_py(), counted.words, counted.word_counts(owned), buckets)])
+
+    asked = known.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(ask_words, _ASKED)
+    words = written(_answered(asked, WORDS, 6, False), "word-sums")
+    kinds, kinds_target, every, every_target = (x or 0 for x in words.agg(*[F.sum(c) for c in ("kinds", "kinds_target", "every", "every_target")]).first())
+
+    def loss(n, total, follow, base):
+        return np.log(np.where(total > 0, (n + follow * base) / np.maximum(total + follow, 1), base))
+
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        counted = _counted(block)
+        d_sums, sums = np.zeros(len(counted.n)), _told(answers, WORDS, 6)
+        if len(counted.pairs):
+            all_, good_ = _told(answers, PAIRS, 4)[:2]
+            before, word = counted.before[counted.first], counted.word[counted.first]
+            base = (sums[0, word] + 1.0) / (every + kinds)
+            base_target = (sums[1, word] + kinds_target / kinds) / (every_target + kinds_target) if kinds_target else np.full(len(word), 1 / kinds)
+            d = loss(good_, sums[3, before], sums[5, before], base_target) - loss(all_, sums[2, before], sums[4, before], base)
+            d_sums = np.bincount(counted.text, d[counted.pair], len(counted.n))
+        ids = block.column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(counted.n.astype(np.int64)), pa.array(d_sums)], names=["id", "n", "d"])
+
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("d", T.DoubleType())])
+    answers = pairs.unionByName(words)
+    sums = known.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, kind)
+    mean = F.when(F.col("n") > 0, F.round(F.col("d") / F.col("n"), 6))
+    return sums.select(F.col("id").alias(id_col), F.struct(F.col("n").alias("n_tokens"), mean.alias("score")).alias(into))

@@ -1,10 +1,14 @@
 """op10's models against plain Python: every word and every pair counts, however rare."""
 
 import math
+import os
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from gridloom.llm import lm_scoring
+from gridloom.llm.common import shared_dir
 
 
 def brute_scores(rows, good):
@@ -68,3 +72,39 @@ def test_query_tells_rare_words_apart(spark, tmp_path):
     got = {r["doc_id"]: r["score"] for r in QUERIES["op10_lm_scoring"](spark, str(tmp_path)).collect()}
     assert got[200] > got[210]
     same([(i, len(t.split()), got[i]) for i, t in rows], brute_scores(rows, {200, 201}))
+
+
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_tables_take_no_more_than_the_texts(spark):
+    """Rare pairs take some bytes each, not rows of names: what op10 keeps on shared storage is less than its input."""
+    rng = random.Random(23)
+    rows = [(i, " ".join(f"w{rng.randrange(30_000)}" for _ in range(300))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    folder = shared_dir(spark).removeprefix("file:")
+    before = size_of(folder)
+    assert lm_scoring.scored_whole(docs, docs.where("doc_id < 500")).count() == 2000
+    assert size_of(folder) - before < sum(len(t) for _, t in rows)
+
+
+def test_blocks_and_buckets_of_any_size(spark, monkeypatch):
+    """Documents of one block or many, and keys of few buckets or many, get the same scores; ids may be strings."""
+    rng = random.Random(5)
+    rows = [(rng.choice([f"d{i}", None]), " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(30)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(2)
+    good = {i for i, _ in rows[::7] if i}
+    labels = spark.createDataFrame([(i,) for i in good], "doc_id string")
+    got = []
+    for buckets in (1, 300):
+        monkeypatch.setattr(lm_scoring, "BUCKETS", buckets)
+        got.append(sorted(map(tuple, lm_scoring.scored_whole(docs, labels).select("doc_id", "lm.*").collect()), key=str))
+    assert got[0] == got[1]
+    expected = sorted(brute_scores(rows, good), key=str)
+    assert sorted((str(a), b) for a, b, _ in got[0]) == sorted((str(a), b) for a, b, _ in expected)
+    assert abs(sum(c or 0 for *_, c in got[0]) - sum(c or 0 for *_, c in expected)) < 3e-4
+    texts = spark.createDataFrame(rows, "id string, text string").coalesce(1).withColumn("target", F.lit(True))
+    many = lm_scoring.text_blocks(texts, 500, 40).collect()
+    assert len({r["block"] for r in many}) == len(many) > 7 and sorted(map(str, (i for r in many for i in r["ids"]))) == sorted(str(i) for i, _ in rows)
+    assert max(len(r["ids"]) for r in many) <= 40
