@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Executions begun herein leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(frame: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
@@ -40,12 +53,8 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with tidy(spark):
         frame.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)
@@ -111,18 +120,22 @@ def lower_ascii(text: Column) -> Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an undirected graph; a component's name is its smallest node.
 
-    Alternating large-star and small-star steps; the edges are a table on shared storage after each
-    step, and nothing goes to the driver but a checksum.
+    Alternating large-star and small-star steps until only stars are left; the edges are a table on shared
+    storage after each step, and nothing goes to the driver but a count.
     """
     known = written(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
     )
 
-    def sign(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def strays(edges: DataFrame) -> int:
+        """How many upper ends are a lower end too or have more than one; without any, each lower end is its component's smallest."""
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("low"))
+        ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("ups"), F.lit(1).alias("low")))
+        ends = ends.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("low").alias("low"))
+        with tidy(edges.sparkSession):
+            return ends.where("ups > 1 or ups = 1 and low = 1").agg(F.count("*")).first()[0]
 
-    mark = sign(known)
-    while mark[0]:
+    while strays(known):
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Tables on both sides of a join: then Spark splits the rows of a hub, which an aggregate beneath would forbid.
         low = written(both.groupBy("u").agg(F.min("v").alias("m")), "lowest")
@@ -133,9 +146,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         known = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = sign(known)
-        if now == mark:
-            break
-        mark = now
     tops = known.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return known.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops).distinct()

@@ -267,7 +267,9 @@ def near_groups(
     links = written(_near(sets, like, pairs), "links")
     first = written(components(links), "first-components")
     deeper = _estimated(_deep_pairs(sets, _in_mixed_lists(entries, lists, first), first, like, deep), classes, like, k)
-    links = links.unionByName(written(_near(sets, like, written(deeper, "deep-candidates")), "deep-links"))
+    deeper = written(_near(sets, like, written(deeper, "deep-candidates")), "deep-links")
+    # The first components stand for their links: stars, which only the deep links join.
+    links = first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(deeper)
     named = components(links).withColumnRenamed("component", "__c")
     groups = classes.select("key", "size", "node").join(named, "node", "left")
     groups = groups.select("key", "size", F.coalesce("__c", "node").alias("component_id"))
