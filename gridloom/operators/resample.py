@@ -1,9 +1,11 @@
 """Resampling of pixel relations by affine maps.
 
-Without rotation or shear, output columns depend on source columns alone and rows on rows: each source pixel
-is dealt to the few output pixels that it helps to make, and a sum by output pixel, partial in each task,
-finishes them. Nearest neighbours need no sum and so no shuffle at all. Other maps look up the source pixels
-of each output pixel by an equi-join on (y, x).
+Without rotation or shear, output columns depend on source columns alone and rows on rows. Nearest neighbours
+need no sum and so no shuffle at all. For the other kernels each source pixel goes once to the tile, seldom to the
+tiles, of output pixels that it helps to make, and a tile is the product of its source pixels with each axis's
+weights. An axis so shrunk that the taps of a few output pixels overfill a tile is cut into runs of source pixels
+instead, whose partial sums a sum by output pixel finishes. Other maps look up the source pixels of each output
+pixel by an equi-join on (y, x).
 
 Pixel centres: nearest with a pure scale and all other kernels put pixel i's centre at i + 1/2; nearest with
 a translation takes the output pixel's corner, floor((X - t) / s). A missing source pixel (NULL) makes every
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..geometry import Affine
 from ..plans.nodes import Warp, stretch, support
-
-TINY = 1e-9
+from . import tiles
+from .tiles import TINY
 
 
 def grid(spark: SparkSession, dsize: tuple[int, int]) -> DataFrame:
@@ -81,12 +83,16 @@ class Axis:
     def reach(self) -> float:
         return 0.5 if self.kernel == "nearest" else support(self.kernel) * self.wide
 
-    def outputs(self, source: Column) -> Column:
-        """All output indexes, clipped to the canvas, that a source index may serve; some may not be served."""
+    def bounds(self, source: Column) -> tuple[Column, Column]:
+        """The first and the last output index, clipped to the canvas, that a source index may serve."""
         r = self.reach() + 1
         low = F.floor((source - r) * self.s + self.t).cast("bigint") - 1 - self.first
         high = F.ceil((source + 1 + r) * self.s + self.t).cast("bigint") + 1 - self.first
-        low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(self.count - 1))
+        return F.greatest(low, F.lit(0)), F.least(high, F.lit(self.count - 1))
+
+    def outputs(self, source: Column) -> Column:
+        """All output indexes that a source index may serve; some may not be served."""
+        low, high = self.bounds(source)
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
     def served(self, out: Column) -> Column:
@@ -104,6 +110,16 @@ class Axis:
         taps = F.sequence(low, low + math.ceil(2 * self.reach()) + 3)
         return F.aggregate(taps, F.lit(0.0), lambda a, i: a + self.weight(out, i))
 
+    def cut(self, side: int, most: int) -> tiles.Cut:
+        return tiles.Cut(self.kernel, self.s, self.t, self.first, self.count, self.n, self.wide, self.reach(), side, most)
+
+    def tiles(self, cut: tiles.Cut, source: Column) -> Column:
+        """The tiles that a source index goes to."""
+        if not cut.whole:
+            return F.array(F.floor(source / cut.step).cast("bigint"))
+        low, high = (F.floor(c / cut.step).cast("bigint") for c in self.bounds(source))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
 
 def _inside(node: Warp, px: Column, py: Column, pixel: float = 0.0) -> Column:
     """Whether a point of the source, or a pixel around it, survives the crops between fused maps."""
@@ -153,44 +169,36 @@ def _finished(node: Warp, summed: DataFrame, bands: list[str], kinds: dict, whol
     return summed.select("y", "x", *out)
 
 
-def _sums(bands: list[str], w: Column, first: bool) -> list[Column]:
+def _sums(bands: list[str], w: Column) -> list[Column]:
     out = []
     for i, b in enumerate(bands):
-        v = F.col(f"`{b}`").cast("double") if first else F.col(f"__v{i}")
-        known = F.col(f"`{b}`").isNotNull() if first else F.lit(True)
-        out += [F.sum(F.when(known, w * v)).alias(f"__v{i}"), F.sum(F.when(known, w if first else w * F.col(f"__w{i}"))).alias(f"__w{i}")]
+        known = F.col(f"`{b}`").isNotNull()
+        out += [F.sum(F.when(known, w * F.col(f"`{b}`").cast("double"))).alias(f"__v{i}"), F.sum(F.when(known, w)).alias(f"__w{i}")]
     return out
 
 
 def _aligned_kernel(node: Warp, source: DataFrame, bands: list[str], spark: SparkSession) -> DataFrame:
     ys, xs = Axis(node, True), Axis(node, False)
-    kinds = dict(source.dtypes)
-    cols = [F.col(f"`{b}`") for b in bands]
-    across = source.select("y", F.col("x").alias("__sx"), *cols, F.explode(xs.outputs(F.col("x"))).alias("x"))
-    across = across.withColumn("__wx", xs.weight(F.col("x"), F.col("__sx"))).where("__wx <> 0")
-    if (2 * ys.reach()) * (2 * xs.reach()) <= 16:  # few taps: both axes in one sum
-        both = across.select(F.col("y").alias("__sy"), "x", "__wx", *cols, F.explode(ys.outputs(F.col("y"))).alias("y"))
-        both = both.withColumn("__w", F.col("__wx") * ys.weight(F.col("y"), F.col("__sy"))).where("__w <> 0")
-        summed = both.groupBy("y", "x").agg(*_sums(bands, F.col("__w"), True))
-    else:
-        rows = across.groupBy("y", "x").agg(*_sums(bands, F.col("__wx"), True)).withColumnRenamed("y", "__sy")
-        rows = rows.withColumn("y", F.explode(ys.outputs(F.col("__sy")))).withColumn("__wy", ys.weight(F.col("y"), F.col("__sy"))).where("__wy <> 0")
-        summed = rows.groupBy("y", "x").agg(*_sums(bands, F.col("__wy"), False))
-    whole = ys.whole(F.col("y")) * xs.whole(F.col("x"))
-    # Canvas rows without any tap inside the source come from the canvas itself, with no weight.
-    none = [c for i in range(len(bands)) for c in (F.lit(0.0).alias(f"__v{i}"), F.lit(0.0).alias(f"__w{i}"))]
-    sums = [F.sum(c).alias(c) for i in range(len(bands)) for c in (f"__v{i}", f"__w{i}")]
-    edge = ~(_touched(ys, F.col("y")) & _touched(xs, F.col("x"))) if not node.clips else F.lit(True)
-    rim = grid(spark, node.size).where(edge).select("y", "x", *none)
-    done = summed.unionByName(rim)
-    done = done.groupBy("y", "x").agg(*sums)
-    return _finished(node, done, bands, kinds, whole)
-
-
-def _touched(axis: Axis, out: Column) -> Column:
-    """Whether every tap of an output index lies well inside the source."""
-    at, r = axis.at(out), axis.reach() + 1
-    return (at - r >= 0) & (at + r <= axis.n)
+    kinds, n = dict(source.dtypes), len(bands)
+    held = max(tiles.HELD // max(n, 1), 64)
+    across = xs.cut(math.isqrt(held), math.isqrt(tiles.MADE))
+    down = ys.cut(held // across.held(), min(max(tiles.MADE // across.step, 1), 2 * math.isqrt(tiles.MADE)))
+    keyed = source.select(F.col("y").cast("bigint").alias("__sy"), F.col("x").cast("bigint").alias("__sx"), *[F.col(f"`{b}`").cast("double").alias(f"__b{i}") for i, b in enumerate(bands)])
+    keyed = keyed.where(F.col("__sy").between(0, ys.n - 1) & F.col("__sx").between(0, xs.n - 1))
+    keyed = keyed.withColumn("__ty", F.explode(ys.tiles(down, F.col("__sy")))).withColumn("__tx", F.explode(xs.tiles(across, F.col("__sx"))))
+    whole = down.whole and across.whole
+    if whole:  # also tiles that no source pixel goes to make their pixels
+        every = grid(spark, (across.tiles, down.tiles)).select(F.col("y").alias("__ty"), F.col("x").alias("__tx"))
+        keyed = keyed.unionByName(every, allowMissingColumns=True)
+    names = ["y", "x", "__whole", *[f"__{c}{i}" for i in range(n) for c in "vw"]]
+    kind = "y bigint, x bigint, " + ", ".join(f"{c} double" for c in names[2:])
+    made = keyed.groupBy("__ty", "__tx").applyInArrow(tiles.maker(down, across, n, names), kind)
+    if whole:
+        return _finished(node, made, bands, kinds, F.col("__whole"))
+    # Pixels without any tap inside the source come from the canvas itself, with no weight.
+    rim = grid(spark, node.size).select("y", "x", *[F.lit(0.0).alias(c) for c in names[3:]])
+    made = made.drop("__whole").unionByName(rim).groupBy("y", "x").agg(*[F.sum(c).alias(c) for c in names[3:]])
+    return _finished(node, made, bands, kinds, ys.whole(F.col("y")) * xs.whole(F.col("x")))
 
 
 def _general(node: Warp, source: DataFrame, bands: list[str], spark: SparkSession) -> DataFrame:
@@ -214,7 +222,7 @@ def _general(node: Warp, source: DataFrame, bands: list[str], spark: SparkSessio
     w = weight(node.interpolation, F.col("__sy") + 0.5 - F.col("__py"), wide) * weight(node.interpolation, F.col("__sx") + 0.5 - F.col("__px"), wide)
     taps = taps.withColumn("__w", w).where("__w <> 0")
     met = taps.join(keyed, ["__sy", "__sx"], "left")
-    summed = met.groupBy("y", "x").agg(F.sum("__w").alias("__whole"), *_sums(bands, F.col("__w"), True))
+    summed = met.groupBy("y", "x").agg(F.sum("__w").alias("__whole"), *_sums(bands, F.col("__w")))
     summed = summed.na.fill(0.0, [f"__{c}{i}" for i in range(len(bands)) for c in "vw"])
     return _finished(node, summed, bands, kinds, F.col("__whole"))
 
